@@ -182,6 +182,23 @@ def leaks(
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "share", "windows", "changed")
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 5, literals: int = 3, threshold: float = 0.8, block: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, that leak no item; one filter per block of the benchmark, without a join."""
+    items = benchmark.select(benchmark[item_col].alias("item"), text_of(benchmark, item_text_col).alias("text")).where("text <> ''")
+
+    def keep(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, index = Words(), shared.value
+            for b in batches:
+                yield b.filter(pa.array([not index.search(x.as_py() or "", words, threshold) for x in b.column(text_col)], pa.bool_()))
+
+        return run
+
+    for part in _blocks(items, block):
+        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(Index(part, window, literals))), docs.schema)
+    return docs
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that it leaks."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -49,6 +49,14 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return s.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), water * F.col("w"))).alias("target"))
 
 
+def _key(id_col: Column, text: Column, seed: int) -> Column:
+    return -F.log(uniform(F.lit(seed), id_col.cast("string"))) / quality_weight(text)
+
+
+def _part(source: Column) -> Column:
+    return F.when(source.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), source.cast("string")))
+
+
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS,
     share: float = 1.5, cap: float = 2.0, seed: int = 17, whole: bool = False,
@@ -58,11 +66,10 @@ def mix(
     ``whole``: the document at the edge counts whole or not at all, whichever is nearer; else it gives what fits.
     """
     text = text_of(docs, text_col)
-    rows = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), quality_weight(text).alias("quality"))
-    u = uniform(F.lit(seed), F.col("id").cast("string"))
-    rows = materialize(rows.withColumn("key", -F.log(u) / F.col("quality")))
+    rows = docs.select(docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _key(docs[id_col], text, seed).alias("key"))
+    rows = materialize(rows)
     n_bins = bins_for(rows.count())
-    part = F.when(F.col("source").isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col("source")))
+    part = _part(F.col("source"))
     rows = rows.withColumn("part", part).withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * n_bins).cast("int"))
     sources = materialize(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap).withColumn("part", part))
     per_source = bounded(sources.select("part", "source_size", "target"))
@@ -75,7 +82,21 @@ def mix(
         room = F.when(room * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
     taken = epochs * F.col("size") + room
     copies = epochs + F.when(room > 0, 1).otherwise(0)
-    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), copies.cast("int").alias("copies"))
+    return rows.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), copies.cast("int").alias("copies"), epochs.alias("epochs"), "key", "part")
+
+
+def emit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, **params) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, each as often as its source's target takes it; documents are whole.
+
+    A source's epochs and the last key that its target reaches are one row per source, so the texts are not shuffled.
+    """
+    mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, whole=True, **params)
+    edges = mixed.groupBy("part").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("copies") > F.col("epochs"), F.col("key"))).alias("edge"))
+    edges = bounded(materialize(edges.select(F.col("part").alias("_mx_part"), F.col("epochs").alias("_mx_epochs"), F.col("edge").alias("_mx_edge"))))
+    keyed = docs.withColumns({"_mx_part": _part(docs[source_col]), "_mx_key": _key(docs[id_col], text_of(docs, text_col), seed)})
+    copies = F.col("_mx_epochs") + F.when(F.col("_mx_key") <= F.col("_mx_edge"), 1).otherwise(0)
+    keyed = keyed.join(edges, "_mx_part").withColumn("_mx_n", copies.cast("int")).where("_mx_n > 0")
+    return keyed.withColumn("_mx_copy", F.explode(F.sequence(F.lit(1), F.col("_mx_n")))).select(*docs.columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

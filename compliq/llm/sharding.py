@@ -15,12 +15,11 @@ by one; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from compliq.llm.common import bins_for, materialize, running_before, table, text_of, uniform
 
-DIMS = ("d_size", "d_script", "d_lines", "d_lang")
 BINS = 4096
 
 
@@ -32,59 +31,114 @@ def _cut(hist: DataFrame, want: DataFrame) -> dict[int, tuple[int, float]]:
     return {r["node"]: (r["m"]["bin"], r["m"]["want"] - (r["m"]["cum"] - r["m"]["b"])) for r in at.collect()}
 
 
-def kd_shards(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", group_share: float = 0.002) -> DataFrame:
-    """One row per document: id, size, text_crc32, shard, slot (gapless from 0 within the shard)."""
-    spark = docs.sparkSession
+def _coordinates(docs: DataFrame, text_col: str, lang_col: str) -> dict[str, Column]:
     text = text_of(docs, text_col)
     size = (F.octet_length(text) + 1).cast("long")
-    rows = docs.select(
-        docs[id_col].alias("id"), size.alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("tag"), F.log(size.cast("double")).alias("d_size"),
-        (F.octet_length(text) / F.greatest(F.char_length(text), F.lit(1))).cast("double").alias("d_script"),
-        F.log1p(F.regexp_count(text, F.lit("\n")).cast("double")).alias("d_lines"),
-        F.coalesce(uniform(docs[lang_col].cast("string")), F.lit(0.0)).alias("d_lang"),
-    )
-    rows = materialize(rows)
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), *[f(d).alias(f"{k}_{d}") for d in DIMS for k, f in (("lo", F.min), ("hi", F.max))]).first()
-    if not facts["n"]:
-        return rows.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    span = {d: facts[f"hi_{d}"] - facts[f"lo_{d}"] for d in DIMS}
-    groups = rows.groupBy("tag", "crc").agg(F.sum("size").alias("b")).where(F.col("b") > group_share * facts["bytes"])
-    large = materialize(groups.select("tag", "crc", F.lit(True).alias("large")))
-    rows = rows.join(F.broadcast(large), ["tag", "crc"], "left")  # at most 1 / group_share groups
-    tie = F.when(F.col("large"), uniform(F.col("id"), F.col("crc"))).otherwise(uniform(F.col("tag"), F.col("crc")))
-    rows = materialize(rows.select("id", "size", "crc", *DIMS, tie.alias("tie"), F.lit(0).alias("node")))
-
-    holds = {0: (0, shards)}  # by node: its first shard and how many it holds
+    return {
+        "_kd_size": size, "_kd_crc": F.crc32(text.cast("binary")), "_kd_tag": F.xxhash64(text), "_kd_d0": F.log(size.cast("double")),
+        "_kd_d1": (F.octet_length(text) / F.greatest(F.char_length(text), F.lit(1))).cast("double"),
+        "_kd_d2": F.log1p(F.regexp_count(text, F.lit("\n")).cast("double")),
+        "_kd_d3": F.coalesce(uniform(docs[lang_col].cast("string")), F.lit(0.0)),
+    }
+
+
+DIMS = tuple(f"_kd_d{i}" for i in range(4))
+
+
+def _bin(cuts: DataFrame) -> Column:
+    x = F.element_at(F.array(*[F.col(d) for d in DIMS]), F.col("dim") + 1)
+    return F.least(F.floor((x - F.col("lo")) / F.col("width") * BINS), F.lit(BINS - 1)).cast("int")
+
+
+class Plan:
+    """A k-d tree's cuts, level by level, the groups that are spread row by row, and the shard of each leaf."""
+
+    def __init__(self, large: DataFrame, id_col: str):
+        self.large, self.id_col, self.levels, self.leaves = large, id_col, [], [(0, 0)]
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """Adds _kd_tie and _kd_node to rows with coordinates."""
+        rows = rows.join(F.broadcast(self.large), ["_kd_tag", "_kd_crc"], "left")  # at most 1 / group_share groups
+        tie = F.when(F.col("_kd_large"), uniform(F.col(self.id_col).cast("string"), F.col("_kd_crc"))).otherwise(uniform(F.col("_kd_tag"), F.col("_kd_crc")))
+        rows = rows.withColumn("_kd_tie", tie).drop("_kd_large").withColumn("_kd_node", F.lit(0))
+        for level in self.levels:
+            rows = self.down(rows, level)
+        return rows
+
+    @staticmethod
+    def down(rows: DataFrame, level: list[tuple]) -> DataFrame:
+        cuts = rows.sparkSession.createDataFrame(level, "_kd_node int, dim int, lo double, width double, at int, tie_at int, l int, r int")
+        names = rows.columns
+        bin_ = _bin(cuts)
+        goes_left = (bin_ < F.col("at")) | ((bin_ == F.col("at")) & (F.floor(F.col("_kd_tie") * BINS) < F.col("tie_at")))
+        node = F.when(F.col("l").isNull(), F.col("_kd_node")).when(goes_left, F.col("l")).otherwise(F.col("r"))
+        placed = rows.join(F.broadcast(cuts), "_kd_node", "left")  # fewer cuts than shards
+        return placed.select(*[node.alias(c) if c == "_kd_node" else F.col(c) for c in names])
+
+    def shards(self, rows: DataFrame) -> DataFrame:
+        """Adds _kd_shard to rows with coordinates."""
+        leaves = rows.sparkSession.createDataFrame(self.leaves, "_kd_node int, _kd_shard int")
+        return self.place(rows).join(F.broadcast(leaves), "_kd_node")
+
+
+def kd_plan(rows: DataFrame, shards: int, id_col: str, group_share: float) -> Plan:
+    """``rows``: materialized, narrow, with coordinates."""
+    spark = rows.sparkSession
+    ranges = [f(d).alias(f"{k}{d}") for d in DIMS for k, f in (("lo", F.min), ("hi", F.max))]
+    facts = rows.agg(F.sum("_kd_size").alias("bytes"), *ranges).first()
+    total = facts["bytes"] or 0
+    span = {d: (facts[f"hi{d}"] or 0) - (facts[f"lo{d}"] or 0) for d in DIMS}
+    groups = rows.groupBy("_kd_tag", "_kd_crc").agg(F.sum("_kd_size").alias("b")).where(F.col("b") > group_share * total)
+    plan = Plan(materialize(groups.select("_kd_tag", "_kd_crc", F.lit(True).alias("_kd_large"))), id_col)
+    if not total:
+        return plan
+    rows = materialize(plan.place(rows))
+    holds, fresh = {0: (0, shards)}, 1  # by node: its first shard and how many it holds
     while split := {k: v for k, v in holds.items() if v[1] > 1}:
-        stats = rows.groupBy("node").agg(F.sum("size").alias("bytes"), *[f(d).alias(f"{k}_{d}") for d in DIMS for k, f in (("lo", F.min), ("hi", F.max))])
-        plan = []
+        stats = rows.groupBy("_kd_node").agg(F.sum("_kd_size").alias("bytes"), *ranges)
+        spec = {}
         for r in stats.collect():  # fewer rows than shards
-            if r["node"] in split:
-                wide = max(DIMS, key=lambda d: (r[f"hi_{d}"] - r[f"lo_{d}"]) / span[d] if span[d] else 0.0)
-                k = split[r["node"]][1]
-                plan.append((r["node"], DIMS.index(wide), float(r[f"lo_{wide}"]), float(r[f"hi_{wide}"] - r[f"lo_{wide}"]) or 1.0, r["bytes"] * (k // 2) / k))
-        nodes = spark.createDataFrame(plan, "node int, dim int, lo double, width double, want double")
-        x = F.element_at(F.array(*[F.col(d) for d in DIMS]), F.col("dim") + 1)
-        placed = rows.join(F.broadcast(nodes), "node").withColumn("bin", F.least(F.floor((x - F.col("lo")) / F.col("width") * BINS), F.lit(BINS - 1)).cast("int"))
+            if r["_kd_node"] in split:
+                wide = max(DIMS, key=lambda d: (r[f"hi{d}"] - r[f"lo{d}"]) / span[d] if span[d] else 0.0)
+                k = split[r["_kd_node"]][1]
+                spec[r["_kd_node"]] = (DIMS.index(wide), float(r[f"lo{wide}"]), float(r[f"hi{wide}"] - r[f"lo{wide}"]) or 1.0, r["bytes"] * (k // 2) / k)
+        nodes = spark.createDataFrame([(k, *v) for k, v in spec.items()], "node int, dim int, lo double, width double, want double")
+        narrow = rows.select(F.col("_kd_node").alias("node"), F.col("_kd_size").alias("size"), F.col("_kd_tie").alias("tie"), *DIMS)
+        placed = narrow.join(F.broadcast(nodes), "node").withColumn("bin", _bin(nodes))
         coarse = _cut(placed.groupBy("node", "bin").agg(F.sum("size").alias("b")), nodes.select("node", "want"))
-        at = spark.createDataFrame([(k, b, float(w)) for k, (b, w) in coarse.items()], "node int, at int, want double")
-        tied = placed.select("node", "size", "bin", "tie").join(F.broadcast(at.select("node", "at")), "node").where(F.col("bin") == F.col("at"))
-        fine = _cut(tied.groupBy("node", F.floor(F.col("tie") * BINS).cast("int").alias("bin")).agg(F.sum("size").alias("b")), at.select("node", "want"))
-        new, cuts = {k: v for k, v in holds.items() if k not in split}, []
+        at = spark.createDataFrame([(k, b, float(w)) for k, (b, w) in coarse.items()], "node int, at int, rest double")
+        tied = placed.select("node", "size", "bin", "tie").join(F.broadcast(at.select("node", "at")), "node").where("bin = at")
+        fine = _cut(tied.groupBy("node", F.floor(F.col("tie") * BINS).cast("int").alias("bin")).agg(F.sum("size").alias("b")), at.select("node", F.col("rest").alias("want")))
+        holds, level = {k: v for k, v in holds.items() if k not in split}, []
         for k, (first, many) in split.items():
-            left, right = (max(holds) + 1) * 2 + 2 * k, (max(holds) + 1) * 2 + 2 * k + 1
-            new |= {left: (first, many // 2), right: (first + many // 2, many - many // 2)}
+            holds |= {fresh: (first, many // 2), fresh + 1: (first + many // 2, many - many // 2)}
             if k in coarse:
-                cuts.append((k, coarse[k][0], fine.get(k, (0, 0.0))[0], left, right))
-        plan_cuts = spark.createDataFrame([(*next(p[:4] for p in plan if p[0] == c[0]), *c[1:]) for c in cuts], "node int, dim int, lo double, width double, at int, tie_at int, l int, r int")
-        placed = rows.join(F.broadcast(plan_cuts), "node", "left").withColumn("bin", F.least(F.floor((x - F.col("lo")) / F.col("width") * BINS), F.lit(BINS - 1)).cast("int"))
-        goes_left = (F.col("bin") < F.col("at")) | ((F.col("bin") == F.col("at")) & (F.floor(F.col("tie") * BINS) < F.col("tie_at")))
-        rows = placed.select("id", "size", "crc", *DIMS, "tie", F.when(F.col("l").isNull(), F.col("node")).when(goes_left, F.col("l")).otherwise(F.col("r")).alias("node"))
-        holds = new
-    leaves = spark.createDataFrame([(k, v[0]) for k, v in holds.items()], "node int, shard int")
-    rows = rows.join(F.broadcast(leaves), "node").select("id", "size", "crc", "shard", F.pmod(F.xxhash64("id", "crc"), F.lit(bins_for(facts["n"]))).alias("bin"))
-    rows = running_before(materialize(rows), ["shard"], "bin", [F.col("id"), F.col("crc"), F.col("size")], F.lit(1).cast("long"), "slot")
-    return rows.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
+                level.append((k, *spec[k][:3], coarse[k][0], fine.get(k, (0, 0.0))[0], fresh, fresh + 1))
+            fresh += 2
+        plan.levels.append(level)
+        rows = plan.down(rows, level)
+    plan.leaves = [(k, v[0]) for k, v in holds.items()]
+    return plan
+
+
+def kd_shards(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", group_share: float = 0.002) -> DataFrame:
+    """One row per document: id, size, text_crc32, shard, slot (gapless from 0 within the shard)."""
+    rows = docs.select(docs[id_col].alias("_kd_id"), *[c.alias(k) for k, c in _coordinates(docs, text_col, lang_col).items()])
+    rows = materialize(rows)
+    plan = kd_plan(rows, shards, "_kd_id", group_share)
+    out = plan.shards(rows).select(F.col("_kd_id").alias("id"), F.col("_kd_size").alias("size"), F.col("_kd_crc").alias("crc"), F.col("_kd_shard").alias("shard"))
+    out = out.withColumn("bin", F.pmod(F.xxhash64("id", "crc"), F.lit(bins_for(rows.count()))))
+    out = running_before(materialize(out), ["shard"], "bin", [F.col("id"), F.col("crc"), F.col("size")], F.lit(1).cast("long"), "slot")
+    return out.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
+
+
+def sharded(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", group_share: float = 0.002) -> DataFrame:
+    """The rows of ``docs``, all columns, and ``shard`` (in place of a column of that name); the texts are not shuffled."""
+    coordinates = _coordinates(docs, text_col, lang_col)
+    rows = materialize(docs.select(docs[id_col].alias("_kd_id"), *[c.alias(k) for k, c in coordinates.items()]))
+    plan = kd_plan(rows, shards, "_kd_id", group_share)
+    placed = plan.shards(docs.withColumns({"_kd_id": docs[id_col], **coordinates}))
+    return placed.select(*[c for c in docs.columns if c != "shard"], F.col("_kd_shard").alias("shard"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

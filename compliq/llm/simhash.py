@@ -7,10 +7,10 @@ Covering (Pagh, 2016): bit i gets a nonzero vector m(i) of radius + 1 bits; for
 with <m(i), v> odd. Two fingerprints that differ in at most ``radius`` bits agree under at least one mask, since
 ``radius`` equations leave a nonzero v that is even on all differing bits. So no pair within the radius is missed.
 
-Within a bucket (mask, masked bits) of up to ``dense`` points all distances are computed at once and a spanning forest of the
-links is emitted. Points of larger buckets are linked exactly in another way: two points are within 2 * r of each other if and
-only if balls of radius r around them meet, so each point emits its ball of half the radius (for an odd radius, one of the two with
-the larger half, checked afterwards by a chain of half links) and points that share a member are linked to the smallest.
+Within a bucket (mask, masked bits) of up to ``dense`` points a search that compares reached points with the others finds the
+links, and only a spanning forest of them is emitted. Points of larger buckets agree on the masked bits, so they are covered again
+over the bits that are left: the guarantee holds for those bits alike, and each turn halves them, so that buckets of distinct points
+cannot stay large. No partner is left out, and no task holds more than ``dense`` points of a bucket.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked like any other; fewer words
 than a shingle are one shingle; repeated rows are in one component; null ids are never a component's name unless all its ids
@@ -20,15 +20,15 @@ are null; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from compliq.llm.common import LOWER, UPPER, materialize, table, text_of
+from compliq.llm.common import LOWER, UPPER, bounded, materialize, table, text_of
 from compliq.llm.components import components
 
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -52,10 +52,14 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def masks(radius: int, bits: int = 64) -> list[int]:
-    """The masks of all nonzero v; the bits take the nonzero vectors in turn, so every mask keeps about half of them."""
-    vectors = [i % (2 ** (radius + 1) - 1) + 1 for i in range(bits)]
-    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
+def masks(radius: int, turn: int = 0, bits: int = 64) -> list[int]:
+    """The masks of all nonzero v. The bits take the nonzero vectors in turn, so every mask keeps about half of them; later turns deal them anew."""
+    n = 2 ** (radius + 1) - 1
+    order = np.random.default_rng(turn).permutation(bits) if turn else np.arange(bits)
+    vectors = [int(order[i]) % n + 1 for i in range(bits)]
+    if n > bits:  # spread over the whole space, else low vectors alone would be used
+        vectors = [int(v) for v in np.random.default_rng(turn + 100).permutation(n)[:bits] + 1]
+    return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
 def signed(x: int) -> int:
@@ -75,67 +79,82 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return rows.mapInArrow(run, f"id {kind}, fp long")
 
 
-def forest(points: list[int], radius: int) -> list[tuple[int, int]]:
+def forest(points: list[int], radius: int, block: int = 256) -> list[tuple[int, int]]:
     """Links of a spanning forest of the points within the radius of each other: each component's points to its first."""
-    p = np.array(points, np.int64).view(np.uint64)
-    near = np.bitwise_count(p[:, None] ^ p[None, :]) <= radius
-    left, links = np.ones(len(p), bool), []
-    for i in range(len(p)):
-        if left[i]:
-            reached = new = np.arange(len(p)) == i
-            while new.any():
-                new = near[new].any(axis=0) & ~reached
-                reached = reached | new
-            left &= ~reached
-            links += [(points[i], points[j]) for j in np.flatnonzero(reached) if j != i]
+    left = np.array(points, np.int64).view(np.uint64)
+    links = []
+    while len(left):
+        first, new, left = left[0], left[:1], left[1:]
+        while len(new) and len(left):
+            near = np.zeros(len(left), bool)
+            for i in range(0, len(new), block):
+                near |= (np.bitwise_count(new[i : i + block, None] ^ left[None, :]) <= radius).any(axis=0)
+            new, left = left[near], left[~near]
+            links += [(signed(int(first)), signed(int(x))) for x in new]
     return links
 
 
-def _ball(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(point, member): all members within the radius of each point."""
-    flips = np.array([sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(64), k)], np.uint64)
-    return np.repeat(points, len(flips)), (points[:, None] ^ flips[None, :]).ravel()
-
-
-def links(points: DataFrame, radius: int, dense: int = 256) -> DataFrame:
-    """(a, b): enough links between the distinct longs ``fp`` to connect all pairs within an even radius."""
-    if radius % 2:
-        raise ValueError("the radius must be even")
-    keep = F.array(*[F.lit(signed(m)) for m in masks(radius)])
-    rows = points.select("fp", F.posexplode(keep).alias("table", "mask")).select("fp", "table", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-    rows = materialize(rows)
-    sizes = materialize(rows.groupBy("table", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    small = rows.join(sizes.where(F.col("m") <= dense), ["table", "key"]).groupBy("table", "key").agg(F.collect_list("fp").alias("fps"))  # at most ``dense`` a row
+def links(points: DataFrame, radius: int, dense: int = 4096) -> DataFrame:
+    """(a, b): enough links between the distinct longs ``fp`` to connect all pairs within the radius."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [x for fps in b.column("fps").to_pylist() for x in forest(sorted(fps), radius)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    def balls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for i in range(0, len(p), 256):
-                fp, member = _ball(p[i : i + 256], radius // 2)
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(member.view(np.int64))], names=["fp", "member"])
-
-    found = small.select("fps").mapInArrow(pair, "a long, b long")
-    large = rows.join(sizes.where(F.col("m") > dense), ["table", "key"]).select("fp").distinct()
-    near = materialize(large.mapInArrow(balls, "fp long, member long"))
-    hubs = near.groupBy("member").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    return found.union(near.join(materialize(hubs.select("member", "b")), "member").where("fp <> b").select(F.col("fp").alias("a"), "b"))
-
-
-def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, dense: int = 256) -> DataFrame:
+            for fps in b.column("fps"):
+                found = forest(sorted(fps.as_py()), radius)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    todo, found, turn = points.select("fp", F.lit(-1).cast("long").alias("open"), F.lit(0).cast("long").alias("path")), None, 0
+    while True:
+        cover = F.array(*[F.lit(signed(m)) for m in masks(radius, turn)])
+        rows = todo.select("fp", "open", "path", F.explode(cover).alias("mask"))
+        kept = F.col("mask").bitwiseAND(F.col("open"))
+        rows = rows.select("fp", F.col("open").bitwiseAND(F.bitwise_not("mask")).alias("open"), F.xxhash64("path", "mask", F.col("fp").bitwiseAND(kept)).alias("bucket"))
+        sizes = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+        shared = materialize(rows.join(bounded(sizes), "bucket"))
+        small = shared.where(F.col("m") <= dense).groupBy("bucket").agg(F.collect_list("fp").alias("fps"))  # at most ``dense`` a row
+        here = small.select("fps").mapInArrow(pair, "a long, b long")
+        found = here if found is None else found.union(here)
+        large = shared.where(F.col("m") > dense)
+        if turn == 6 or large.isEmpty():
+            return found
+        todo, turn = large.select("fp", "open", F.col("bucket").alias("path")), turn + 1
+
+
+def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, dense: int = 4096) -> DataFrame:
     """One row per document: id, fp (signed long), component_id (the smallest id reachable)."""
     rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+    return rows.join(_labels(rows, radius, dense), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def _labels(rows: DataFrame, radius: int, dense: int) -> DataFrame:
+    """(fp, component_id) of the materialized (id, fp)."""
     points = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")))
     parts = components(links(points.select("fp"), radius, dense))
     named = points.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = materialize(named)
     names = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    labels = materialize(named.join(names, "component").select("fp", "component_id"))
-    return rows.join(labels, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return materialize(named.join(names, "component").select("fp", "component_id"))
+
+
+def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 6, dense: int = 4096) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each component: that with the smallest id (rows that repeat it: any one of them)."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [signed(fingerprint((x.as_py() or "").encode(), shingle)) for x in b.column(text_col)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], names=[*b.schema.names, "_sh_fp"])
+
+    rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
+    labels = _labels(rows, radius, dense)
+    wins = rows.join(labels, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
+    wins = materialize(wins.groupBy("fp", "id").agg(F.count(F.lit(1)).alias("n")).select(F.col("fp").alias("_sh_fp"), F.col("id").alias("_sh_id"), F.col("n").alias("_sh_n")))
+    marked = docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("_sh_fp", T.LongType())]))
+    kept = marked.join(wins, (marked["_sh_fp"] == wins["_sh_fp"]) & marked[id_col].eqNullSafe(wins["_sh_id"])).drop(wins["_sh_fp"])
+    if wins.where("_sh_n > 1").isEmpty():
+        return kept.select(*docs.columns)
+    # rows that repeat an id and a fingerprint: one of them
+    once = kept.where("_sh_n > 1").dropDuplicates(["_sh_fp", "_sh_id"])
+    return kept.where("_sh_n = 1").select(*docs.columns).union(once.select(*docs.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

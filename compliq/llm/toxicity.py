@@ -6,7 +6,8 @@ the noisy-or 1 - prod(1 - p). Only document labels are known, so the gradient of
 the sentences, and afterwards the sentences' own scores tell where the offence is.
 
 Fitted on a bounded sample: at most ``sample`` positive and ``sample`` negative labelled documents, those with the smallest hash of
-the id. Features are kept if they occur in enough positive documents and are clearly commoner there, at most ``features``.
+the id. Features are kept if they are commoner in positive documents by ``lift`` and by a log-likelihood ratio of ``evidence``
+(half of that where none reaches it), at most ``most``.
 
 Defined results: null text counts as empty; an empty text, or one without known features, scores 0; repeated rows score alike;
 null labels or ids are no examples; without labels of both kinds nothing is known and everything scores 0; an empty table gives an
@@ -31,6 +32,8 @@ from compliq.llm.common import held_out, table, text_of
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 PREFIXES = (3, 4, 5, 6, 7)
+#: Log odds of a sentence whose features all weigh 0: fixed, so that features must explain.
+BIAS = -3.0
 #: Words whose score a worker remembers, at most.
 CACHE = 500_000
 
@@ -43,19 +46,30 @@ def features(word: str) -> list[str]:
     return [w, *(w[:k] + "*" for k in PREFIXES if len(w) >= k)]
 
 
-def fit(texts: list[str], toxic: np.ndarray, *, least: int = 3, lift: float = 3.0, most: int = 20_000, steps: int = 300, rate: float = 0.1, l2: float = 1e-4) -> dict:
-    """Weights by feature and the bias, by full-batch Adam on the noisy-or's log loss."""
+def fit(texts: list[str], toxic: np.ndarray, *, evidence: float = 25.0, lift: float = 3.0, most: int = 20_000, steps: int = 300, rate: float = 0.1, alone: float = 6.0) -> dict:
+    """Weights (not negative) by feature, by full-batch Adam on the noisy-or's log loss.
+
+    Equal texts count once. An L1 penalty makes a feature pay only if it explains over about ``alone`` positive documents that
+    no other feature explains.
+    """
+    first = sorted({t: i for i, t in reversed(list(enumerate(texts)))}.values())
+    texts, toxic = [texts[i] for i in first], toxic[first]
     n_pos, n_neg = int(toxic.sum()), int(len(toxic) - toxic.sum())
     if not n_pos or not n_neg:
-        return {"bias": 0.0, "weights": {}}
+        return {"bias": BIAS, "weights": {}}
     made: dict[str, list[str]] = {}
     of = lambda w: made[w] if w in made else made.setdefault(w, features(w))
     seen = (Counter(), Counter())
     for t, y in zip(texts, toxic, strict=True):
         seen[int(y)].update({f for w in set(t.split()) for f in of(w)})
-    least = min(least, max(1, n_pos // 4))
-    odds = {f: np.log((k + 0.5) / (n_pos + 1)) - np.log((seen[0][f] + 0.5) / (n_neg + 1)) for f, k in seen[1].items() if k >= least}
-    best = sorted((f for f, o in odds.items() if o >= np.log(lift)), key=lambda f: (-odds[f] * seen[1][f], f))[:most]
+    ratio = {}
+    for f, k in seen[1].items():
+        other = seen[0][f]
+        if (k + 0.5) / (n_pos + 1) >= lift * (other + 0.5) / (n_neg + 1):
+            share, all_share = k / (k + other), n_pos / (n_pos + n_neg)
+            ratio[f] = 2 * (k * np.log(share / all_share) + (other * np.log((1 - share) / (1 - all_share)) if other else 0.0))
+    bar = evidence if any(r >= evidence for r in ratio.values()) else evidence / 2
+    best = sorted((f for f, r in ratio.items() if r >= bar), key=lambda f: (-ratio[f], f))[:most]
     index = {f: i for i, f in enumerate(best)}
     ids = {w: [index[f] for f in fs if f in index] for w, fs in made.items()}
     sent, feat, bag = [], [], []
@@ -69,8 +83,9 @@ def fit(texts: list[str], toxic: np.ndarray, *, least: int = 3, lift: float = 3.
                 bag.append(d)
     sent, feat, bag = np.array(sent, np.int64), np.array(feat, np.int64), np.array(bag, np.int64)
     n, k = len(texts), len(best)
-    w, bias = np.full(k, 0.1), -1.0
-    m, v = np.zeros(k + 1), np.zeros(k + 1)
+    w, bias = np.full(k, 0.05), BIAS
+    l1 = 0.5 / n_pos * min(alone, n_pos / 200)
+    m, v = np.zeros(k), np.zeros(k)
     weight = np.where(toxic > 0, 0.5 / n_pos, 0.5 / n_neg)
     for step in range(1, steps + 1):
         z = bias + np.bincount(sent, w[feat], len(bag))
@@ -79,11 +94,11 @@ def fit(texts: list[str], toxic: np.ndarray, *, least: int = 3, lift: float = 3.
         doc = np.clip(1 - np.exp(clean), 1e-9, 1)
         slope = np.where(toxic > 0, -(1 - doc) / doc, 1.0) * weight
         dz = slope[bag] * p
-        g = np.append(np.bincount(feat, dz[sent], k) + l2 * w, dz.sum())
+        g = np.bincount(feat, dz[sent], k) + l1
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, bias = w - move[:-1], bias - move[-1]
-    return {"bias": float(bias), "weights": {f: float(x) for f, x in zip(best, w, strict=True)}}
+        w = np.maximum(w - move, 0)
+    return {"bias": bias, "weights": {f: float(x) for f, x in zip(best, w, strict=True) if x > 0}}
 
 
 class Scorer(dict):
@@ -130,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         return pd.DataFrame({"model": [pickle.dumps(fit(pdf["text"].tolist(), pdf["y"].to_numpy()))]})
 
     got = rows.groupBy(F.lit(0).alias("all")).applyInPandas(run, "model binary").collect()
-    return pickle.loads(got[0]["model"]) if got else {"bias": 0.0, "weights": {}}
+    return pickle.loads(got[0]["model"]) if got else {"bias": BIAS, "weights": {}}
 
 
 def toxicity(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", offending: float = 0.5) -> DataFrame:
@@ -150,6 +165,18 @@ def toxicity(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"id {kind}, score double, offences array<struct<begin:int,end:int,score:double>>").withColumnRenamed("id", id_col)
 
 
+def reject_toxic(docs: DataFrame, model: dict, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is under the threshold; read once, without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for b in batches:
+            yield b.filter(pa.array([noisy_or([p for *_, p in scorer.sentences(x.as_py() or "")]) < threshold for x in b.column(text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores all of ``documents``; learns from the labelled rows outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
