@@ -78,7 +78,7 @@ def audit_in_detail(docs: DataFrame, spec: Any, registry: dict | None = None, ve
     """As ``audit``, with messages, evidence, places, hints and details; all in Arrow batches."""
     spec = load(spec, registry=registry)
     base_dir, plans = spec.base_dir, list(enumerate(spec.enabled))
-    docs = docs.select("doc_id", "path", "file_type", "raw_text", "blocks", "meta")
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "path", "file_type", "raw_text", "blocks", "meta")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

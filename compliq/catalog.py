@@ -1,8 +1,534 @@
-"""The queries of the compliance engine and their SQL."""
+"""The engine's queries over the given tables, and the SQL that they are held against.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Texts of ``documents`` have no markup. Rules on text take a text as one paragraph; rules on structure take blocks derived from line
+numbers (operators.structure.lines_as_blocks), which SQL can derive alike.
+"""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from compliq import audit
+from compliq.functions import lexicon
+from compliq.functions.text import excerpt_col, heading_key_col, word_count
+from compliq.operators import instructions, manifest, structure
+from compliq.plans import native
+from compliq.plans.spec import Specification, load
+from compliq.sources import documents
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def flat_docs(spark: SparkSession, sf: str) -> DataFrame:
+    """``documents`` as parsed documents of one paragraph each."""
+    d = read(spark, sf, "documents")
+    text = F.coalesce("text", F.lit(""))
+    return d.select("doc_id", F.lit(None).cast("string").alias("path"), F.lit("txt").alias("file_type"), text.alias("raw_text"), F.octet_length(text).cast("long").alias("size_bytes"), documents.one_paragraph(text).alias("blocks"), F.lit("{}").alias("meta"), "lang", "source")
+
+
+def one_rule(checker: str, severity: str = "major", **params) -> Specification:
+    return load({"version": 1, "name": checker, "requirements": [{"id": "R1", "description": checker, "checker": checker, "parameters": params, "severity": severity}]})
+
+
+def run_rule(spark: SparkSession, sf: str, checker: str, **params) -> DataFrame:
+    return audit.audit(flat_docs(spark, sf), one_rule(checker, **params)).select("doc_id", "status", "actual", "n")
+
+
+# -- counting words -------------------------------------------------------------------------------
+
+_W = r"\d+(?:[.,]\d+)+|[\p{L}\p{N}]+(?:[''’\-][\p{L}\p{N}]+)*"  # quotes doubled for SQL
+_WORDS = f"len(regexp_extract_all(coalesce(text, ''), '{_W}'))"
+_PLURAL = lambda n, one, many: f"format('{{:,}}', {n}) || CASE WHEN {n} = 1 THEN ' {one}' ELSE ' {many}' END"
+
+
+@query(f"SELECT doc_id, {_WORDS} AS n_words, len(regexp_extract_all(coalesce(text, ''), '[^\\s\\p{{Z}}]+')) AS n_chunks FROM documents")
+def q_word_count(spark, sf):
+    text = F.coalesce("text", F.lit(""))
+    return read(spark, sf, "documents").select("doc_id", word_count(text).cast("long").alias("n_words"), word_count(text, "whitespace").cast("long").alias("n_chunks"))
+
+
+@query(f"""
+    SELECT doc_id, CASE WHEN n BETWEEN 100 AND 400 THEN 'PASS' ELSE 'FAIL' END AS status,
+           format('{{:,}}', n) || ' words' || CASE WHEN n < 100 THEN ' (short by ' || format('{{:,}}', 100 - n) || ')' WHEN n > 400 THEN ' (over by ' || format('{{:,}}', n - 400) || ')' ELSE '' END AS actual, n
+    FROM (SELECT doc_id, {_WORDS} AS n FROM documents)""")
+def q_word_bounds_gap(spark, sf):
+    return run_rule(spark, sf, "word_count", min=100, max=400)
+
+
+# -- literals, punctuation, patterns --------------------------------------------------------------
+
+
+@query(f"""
+    SELECT doc_id, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status, {_PLURAL('n', 'occurrence', 'occurrences')} AS actual, n
+    FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '(?i)licensed\\s+under|the\\s+mit|idiot')) AS n FROM documents)""")
+def q_forbidden_text(spark, sf):
+    return run_rule(spark, sf, "forbidden_text", values=["idiot", "the MIT", "licensed under"])
+
+
+@query(f"""
+    SELECT doc_id, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status, {_PLURAL('n', 'occurrence', 'occurrences')} AS actual, n
+    FROM (SELECT doc_id, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'), lambda x: x IN ('the', 'und'))) AS n FROM documents)""")
+def q_forbidden_text_whole_word(spark, sf):
+    return run_rule(spark, sf, "forbidden_text", values=["the", "und"], whole_word=True)
+
+
+_REQUIRED = """
+    SELECT doc_id, CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS status,
+           CASE WHEN {ok} THEN 'Found: ' || concat_ws(', ', CASE WHEN a > 0 THEN '"the"' END, CASE WHEN b > 0 THEN '"tion"' END, CASE WHEN c > 0 THEN '"que"' END)
+                ELSE 'Missing: ' || concat_ws(', ', CASE WHEN a = 0 THEN '"the"' END, CASE WHEN b = 0 THEN '"tion"' END, CASE WHEN c = 0 THEN '"que"' END) END AS actual,
+           CAST((a > 0)::INT + (b > 0)::INT + (c > 0)::INT AS BIGINT) AS n
+    FROM (SELECT doc_id, len(list_filter(m, lambda x: x = 'the')) AS a, len(list_filter(m, lambda x: x = 'tion')) AS b, len(list_filter(m, lambda x: x = 'que')) AS c
+          FROM (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '(?i)tion|the|que'), lambda x: lower(x)) AS m FROM documents))"""
+
+
+@query(_REQUIRED.format(ok="a > 0 AND b > 0 AND c > 0"))
+def q_required_all(spark, sf):
+    return run_rule(spark, sf, "required_text", values=["the", "tion", "que"])
+
+
+@query(_REQUIRED.format(ok="a > 0 OR b > 0 OR c > 0"))
+def q_required_any(spark, sf):
+    return run_rule(spark, sf, "required_text", values=["the", "tion", "que"], require="any")
+
+
+def turns(spark, sf) -> DataFrame:
+    """``conversations`` as documents: turns in order are paragraphs."""
+    t = read(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    fields = [f.split(":") for f in documents.BLOCK[len("struct<") : -1].split(",")]
+    values = {"position": F.col("turn") + 1, "para": F.col("turn") + 1, "kind": F.lit("paragraph"), "text": F.col("text"), "candidate": F.lit(False)}
+    block = F.struct(*[values.get(n, F.lit(None)).cast(k).alias(n) for n, k in fields])
+    grouped = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    return grouped.select(F.col("conv_id").alias("doc_id"), F.lit(None).cast("string").alias("path"), F.lit("txt").alias("file_type"), "blocks", F.lit("{}").alias("meta"))
+
+
+_WITHIN = """
+    SELECT conv_id AS doc_id, CASE WHEN n IS NULL THEN 'UNVERIFIED' WHEN n > 0 THEN 'PASS' ELSE 'FAIL' END AS status
+    FROM (SELECT conv_id, arg_{end}(CASE WHEN regexp_matches(text, '[^\\s]') THEN len(regexp_extract_all(text, '(?i)the')) END, turn) AS n FROM conversations GROUP BY conv_id)"""
+
+
+@query(_WITHIN.format(end="min"))
+def q_required_first_paragraph(spark, sf):
+    return audit.audit(turns(spark, sf), one_rule("required_text", value="the", within="first_paragraph")).select("doc_id", "status")
+
+
+@query(_WITHIN.format(end="max"))
+def q_required_last_paragraph(spark, sf):
+    return audit.audit(turns(spark, sf), one_rule("required_text", value="the", within="last_paragraph")).select("doc_id", "status")
+
+
+_MARKS = "len(regexp_extract_all(coalesce(text, ''), '[!&]'))"
+
+
+@query(f"SELECT doc_id, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status, {_PLURAL('n', 'occurrence', 'occurrences')} AS actual, n FROM (SELECT doc_id, {_MARKS} AS n FROM documents)")
+def q_forbidden_punctuation(spark, sf):
+    return run_rule(spark, sf, "forbidden_punctuation", marks=["exclamation marks", "ampersand"])
+
+
+@query(f"SELECT doc_id, CASE WHEN n <= 3 THEN 'PASS' ELSE 'FAIL' END AS status, {_PLURAL('n', 'occurrence', 'occurrences')} AS actual, n FROM (SELECT doc_id, {_MARKS} AS n FROM documents)")
+def q_punctuation_max_allowed(spark, sf):
+    return run_rule(spark, sf, "forbidden_punctuation", marks=["!", "&"], max_allowed=3)
+
+
+@query(f"""
+    SELECT doc_id, CASE WHEN n >= 2 THEN 'PASS' ELSE 'FAIL' END AS status, {_PLURAL('n', 'occurrence', 'occurrences')} || CASE WHEN n < 2 THEN ' (short by ' || (2 - n) || ')' ELSE '' END AS actual, n
+    FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '(?i)of\\s+the')) AS n FROM documents)""")
+def q_occurrences_text(spark, sf):
+    return run_rule(spark, sf, "occurrences", text="of the", min=2)
+
+
+@query(f"""
+    SELECT doc_id, CASE WHEN n <= 1 THEN 'PASS' ELSE 'FAIL' END AS status, {_PLURAL('n', 'occurrence', 'occurrences')} || CASE WHEN n > 1 THEN ' (over by ' || format('{{:,}}', n - 1) || ')' ELSE '' END AS actual, n
+    FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[0-9]{{2,}}')) AS n FROM documents)""")
+def q_occurrences_regex(spark, sf):
+    return run_rule(spark, sf, "occurrences", pattern="[0-9]{2,}", max=1)
+
+
+@query(f"""
+    SELECT doc_id, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status, {_PLURAL('n', 'match', 'matches')} AS actual, n
+    FROM (SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._]+@[a-z]+')) AS n FROM documents)""")
+def q_forbidden_regex(spark, sf):
+    return run_rule(spark, sf, "forbidden_regex", pattern="[A-Za-z0-9._]+@[a-z]+")
+
+
+@query("""
+    SELECT doc_id, CASE WHEN a OR b THEN 'PASS' ELSE 'FAIL' END AS status, (a::INT + b::INT) || ' of 2 patterns matched' AS actual
+    FROM (SELECT doc_id, regexp_matches(coalesce(text, ''), '(?i)license') AS a, regexp_matches(coalesce(text, ''), '[0-9]{3}') AS b FROM documents)""")
+def q_required_regex_any(spark, sf):
+    return run_rule(spark, sf, "required_regex", patterns=["license", "[0-9]{3}"], flags=["ignorecase"], require="any").select("doc_id", "status", "actual")
+
+
+@query("""
+    SELECT source, word, n, CAST(row_number() OVER (PARTITION BY source ORDER BY n DESC, word) AS BIGINT) AS place
+    FROM (SELECT source, word, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM documents) GROUP BY source, word)
+    QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, word) <= 12""")
+def q_top_counts(spark, sf):
+    """Counts by key, the most frequent twelve of each source."""
+    from pyspark.sql import Window
+
+    d = read(spark, sf, "documents").select("source", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    counts = d.groupBy("source", "word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "word"))
+    return counts.withColumn("place", place.cast("long")).where("place <= 12")
+
+
+@query("SELECT doc_id, instr(text, '!') AS at, regexp_replace(regexp_replace(text[greatest(instr(text, '!') - 40, 1) : instr(text, '!') + 40], '[\\s]+', ' ', 'g'), '^ | $', '', 'g') AS middle FROM documents WHERE instr(text, '!') > 0")
+def q_excerpt(spark, sf):
+    """The excerpt around the first exclamation mark, without its ellipses."""
+    d = read(spark, sf, "documents").where(F.instr("text", "!") > 0)
+    at = F.instr("text", "!")
+    return d.select("doc_id", at.cast("long").alias("at"), F.regexp_replace(excerpt_col(F.col("text"), at - 1, F.lit(1)), "^…|…$", "").alias("middle"))
+
+
+# -- structure ------------------------------------------------------------------------------------
+
+_BLOCKS = """
+    WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS text, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS position FROM documents),
+    blocks AS (SELECT doc_id, CAST(position AS INT) AS position, text,
+        CASE position % 8 WHEN 1 THEN 'heading' WHEN 3 THEN 'list_item' WHEN 4 THEN 'list_item' WHEN 6 THEN 'code' ELSE 'paragraph' END AS kind,
+        CASE WHEN position % 8 = 1 THEN CAST(1 + (position // 8) % 3 AS INT) END AS level FROM lines)"""
+_SPANS = ", spans AS (SELECT h.doc_id, h.position, h.level, CAST(coalesce((SELECT min(n.position) FROM blocks n WHERE n.doc_id = h.doc_id AND n.kind = 'heading' AND n.position > h.position AND n.level <= h.level), 1000000000) AS INT) AS until FROM blocks h WHERE h.kind = 'heading')"
+
+
+def blocks_of(spark, sf) -> DataFrame:
+    return structure.lines_as_blocks(read(spark, sf, "documents"))
+
+
+@query(_BLOCKS + " SELECT doc_id, position, kind, level, text FROM blocks")
+def q_blocks(spark, sf):
+    return blocks_of(spark, sf)
+
+
+def markup(spark, sf) -> DataFrame:
+    """The derived blocks of plain lines written as Markdown."""
+    b = blocks_of(spark, sf).where(F.col("text").rlike(r"^[\p{L}][\p{L} ,.]*[\p{L}.]$"))
+    line = (
+        F.when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "text")).when(F.col("kind") == "list_item", F.concat(F.lit("- "), "text"))
+        .when(F.col("kind") == "code", F.concat(F.lit("```\n"), "text", F.lit("\n```"))).otherwise(F.col("text"))
+    )
+    lines = b.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("lines"))
+    return lines.select("doc_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("text"))
+
+
+_PLAIN = ", plain AS (SELECT * FROM blocks WHERE regexp_matches(text, '^[\\p{L}][\\p{L} ,.]*[\\p{L}.]$'))"
+
+
+@query(_BLOCKS + _PLAIN + " SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY position) AS INT) AS position, kind, level, text FROM plain")
+def q_markdown_roundtrip(spark, sf):
+    """Blocks written as Markdown and parsed again."""
+    parsed = documents.from_text(markup(spark, sf), "md")
+    return parsed.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.position", "b.kind", "b.level", "b.text")
+
+
+@query(_BLOCKS + " SELECT doc_id, position, kind, last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY position) AS section FROM blocks")
+def q_section_asof(spark, sf):
+    return structure.with_sections(blocks_of(spark, sf)).select("doc_id", "position", "kind", "section")
+
+
+@query(_BLOCKS + _SPANS + " SELECT doc_id, position, level, until FROM spans")
+def q_section_span(spark, sf):
+    return structure.section_spans(blocks_of(spark, sf)).select("doc_id", "position", "level", "until")
+
+
+@query(_BLOCKS + _SPANS + f""" SELECT b.doc_id, CAST(sum(len(regexp_extract_all(b.text, '{_W}'))) AS BIGINT) AS n_words FROM blocks b
+    WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = b.doc_id AND s.level = 2 AND s.position <= b.position AND b.position < s.until) GROUP BY b.doc_id""")
+def q_exclude_sections(spark, sf):
+    """Words outside the sections of level 2."""
+    return structure.word_totals(structure.exclude_sections(blocks_of(spark, sf), F.col("level") == 2))
+
+
+@query(_BLOCKS + """ SELECT doc_id, count(*) FILTER (kind = 'heading') AS headings, count(*) FILTER (kind = 'heading' AND level = 2) AS headings_2, count(*) FILTER (kind = 'list_item') AS list_items,
+    count(*) FILTER (kind = 'code') AS code_blocks, count(*) FILTER (kind = 'paragraph' AND regexp_matches(text, '[^\\s]')) AS paragraphs FROM blocks GROUP BY doc_id""")
+def q_element_counts(spark, sf):
+    return structure.element_totals(blocks_of(spark, sf))
+
+
+def _element_query(element: str, sql: str) -> None:
+    @query(_BLOCKS + _PLAIN + f" SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST({sql} AS BIGINT) AS n, CASE WHEN {sql} >= 2 THEN 'PASS' ELSE 'FAIL' END AS status FROM plain GROUP BY doc_id")
+    def run(spark, sf):
+        """The checker on parsed Markdown."""
+        docs = documents.from_text(markup(spark, sf), "md")
+        return audit.audit(docs, one_rule("element_count", element=element, min=2)).select("doc_id", "n", "status")
+
+    QUERIES[f"q_element_{element}"], ORACLE_SQL[f"q_element_{element}"] = run, ORACLE_SQL.pop("run")
+    del QUERIES["run"]
+
+
+for _element, _sql in (
+    ("bullets", "count(*) FILTER (kind = 'list_item')"), ("numbered_items", "0"), ("list_items", "count(*) FILTER (kind = 'list_item')"), ("headings", "count(*) FILTER (kind = 'heading')"),
+    ("tables", "0"), ("code_blocks", "count(*) FILTER (kind = 'code')"), ("paragraphs", "count(*) FILTER (kind = 'paragraph')"), ("references", "0"),
+):
+    _element_query(_element, _sql)
+
+
+@query("""
+    SELECT doc_id, regexp_replace(regexp_replace(replace(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^#+\\s*|\\s*#+$', '', 'g'), '[*_`]', '', 'g'), '\\s+', ' ', 'g'),
+        '(?i)^(?:(?:chapter|section|part)\\s+(?:\\d+|[ivxlc]+)\\s*[:.\\-–—]?\\s*|\\d+(?:\\.\\d+)*[.)]?\\s+|[ivxlc]+[.)]\\s+)', ''))), 'ß', 'ss'), '[:.]+$', ''), '^ +| +$', '', 'g') AS key
+    FROM (SELECT doc_id, '## ' || (doc_id % 4) || '.1 ' || string_split(coalesce(text, ''), chr(10))[1] || ':' AS line FROM documents)""")
+def q_heading_keys(spark, sf):
+    first = F.element_at(F.split(F.coalesce("text", F.lit("")), "\n", -1), 1)
+    line = F.concat(F.lit("## "), (F.col("doc_id") % 4).cast("string"), F.lit(".1 "), first, F.lit(":"))
+    return read(spark, sf, "documents").select("doc_id", heading_key_col(line).alias("key"))
+
+
+_HEADS = _BLOCKS + ", heads AS (SELECT doc_id, position, regexp_extract(text, '[A-Za-z]+') AS word FROM blocks WHERE kind = 'heading' AND regexp_matches(text, '[A-Za-z]'))"
+
+
+def _word_headings(spark, sf) -> DataFrame:
+    """Documents whose headings are the first words of the derived headings, as Markdown."""
+    h = blocks_of(spark, sf).where((F.col("kind") == "heading") & F.col("text").rlike("[A-Za-z]"))
+    word = F.regexp_extract("text", "[A-Za-z]+", 0)
+    lines = h.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", word.alias("w")))).alias("x"))
+    text = lines.select("doc_id", F.array_join(F.transform("x", lambda x: F.concat(F.lit("# "), x["w"])), "\n\n").alias("text"))
+    return documents.from_text(text, "md")
+
+
+@query(_HEADS + " SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN bool_or(lower(word) IN ('the', 'is', 'le')) AND bool_or(lower(word) IN ('of', 'and')) THEN 'PASS' ELSE 'FAIL' END AS status FROM heads GROUP BY doc_id")
+def q_required_section(spark, sf):
+    return audit.audit(_word_headings(spark, sf), one_rule("required_section", headings=[["The", "Is", "Le"], ["Of", "And"]])).select("doc_id", "status")
+
+
+@query(_HEADS + " SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN bool_or(contains(lower(word), 'th')) THEN 'PASS' ELSE 'FAIL' END AS status FROM heads GROUP BY doc_id")
+def q_required_section_contains(spark, sf):
+    return audit.audit(_word_headings(spark, sf), one_rule("required_section", headings=["Th"], exact=False)).select("doc_id", "status")
+
+
+@query(_HEADS + """ SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND a <= b THEN 'PASS' ELSE 'FAIL' END AS status
+    FROM (SELECT doc_id, min(position) FILTER (contains(lower(word), 'th')) AS a, min(position) FILTER (contains(lower(word), 'e')) AS b FROM heads GROUP BY doc_id)""")
+def q_section_order(spark, sf):
+    return audit.audit(_word_headings(spark, sf), one_rule("required_section", headings=["Th", "E"], exact=False, ordered=True)).select("doc_id", "status")
+
+
+# -- preservation, spelling, files ----------------------------------------------------------------
+
+
+@query("""
+    SELECT d.doc_id, count(*) AS n FROM documents d JOIN benchmark b
+    ON contains(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), trim(regexp_replace(b.text, '\\s+', ' ', 'g'))) GROUP BY d.doc_id""")
+def q_preserved_passages(spark, sf):
+    """How many of the benchmark's passages each document holds unchanged (white space apart). Protected passages are a specification: small, read by the driver."""
+    from compliq.functions.text import collapsed
+
+    items = [r["text"] for r in read(spark, sf, "benchmark").where("text is not null").collect()]
+    needles = F.transform(F.array(*[F.lit(i) for i in items]), lambda i: collapsed(i)) if items else F.array().cast("array<string>")
+    d = read(spark, sf, "documents").select("doc_id", collapsed(F.coalesce("text", F.lit(""))).alias("t"), needles.alias("needles"))
+    return d.select("doc_id", F.size(F.filter("needles", lambda i: F.contains(F.col("t"), i))).cast("long").alias("n")).where("n > 0")
+
+
+_INJECT = "text || CASE doc_id % 4 WHEN 0 THEN ' The colour of the center was \"favorite\" here.' WHEN 1 THEN ' We organised and traveled to the theatres.' WHEN 2 THEN ' An analyzed catalog, skillful' ELSE '' END"
+
+
+def _spelling_sql(variant: str) -> str:
+    side = 0 if variant == "british" else 1
+    pairs = lambda t: [p.split()[side] for p in t.replace("\n", " ").split(",")]
+    stems = "|".join(pairs(lexicon.SPELLING_STEMS))
+    forms = f"(?:{stems})(?:{'|'.join(lexicon.SUFFIXES.split())})?|" + "|".join(pairs(lexicon.SPELLING_WORDS))
+    if variant == "american":
+        forms += f"|(?:{'|'.join(lexicon.ISE_STEMS.split())})is(?:{'|'.join(lexicon.ISE_ENDINGS.split())})"
+    return f"""
+    SELECT doc_id, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status, n FROM (SELECT doc_id,
+      len(list_filter(regexp_extract_all(lower(regexp_replace(replace(t, chr(10), ' '), '"[^"]+"|“[^”]+”', '"', 'g')), '[a-z]+'), lambda w: regexp_full_match(w, '{forms}'))) AS n
+      FROM (SELECT doc_id, {_INJECT} AS t FROM documents))"""
+
+
+def _injected(spark, sf) -> DataFrame:
+    d = flat_docs(spark, sf)
+    tail = F.when(F.col("doc_id") % 4 == 0, ' The colour of the center was "favorite" here.').when(F.col("doc_id") % 4 == 1, " We organised and traveled to the theatres.").when(F.col("doc_id") % 4 == 2, " An analyzed catalog, skillful").otherwise("")
+    return d.withColumn("blocks", documents.one_paragraph(F.concat("raw_text", tail)))
+
+
+@query(_spelling_sql("british"))
+def q_spelling_british(spark, sf):
+    return audit.audit(_injected(spark, sf), one_rule("spelling_variant", variant="british")).select("doc_id", "status", "n")
+
+
+@query(_spelling_sql("american"))
+def q_spelling_american(spark, sf):
+    return audit.audit(_injected(spark, sf), one_rule("spelling_variant", variant="american")).select("doc_id", "status", "n")
+
+
+@query("""
+    SELECT page_id, CASE WHEN ext IN ('html', 'md') THEN 'PASS' ELSE 'FAIL' END AS status, '.' || ext AS actual
+    FROM (SELECT page_id, CASE WHEN e = '' THEN 'txt' ELSE lower(e) END AS ext FROM (SELECT page_id, regexp_extract(regexp_extract(url, '^[^?#]*'), '[^/.][^/]*\\.([^./]+)$', 1) AS e FROM pages))""")
+def q_file_type(spark, sf):
+    p = read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.regexp_extract("url", "^[^?#]*", 0).alias("path"), F.lit("txt").alias("file_type"), documents.one_paragraph(F.lit("x")).alias("blocks"), F.lit("{}").alias("meta"))
+    return audit.audit(p, one_rule("file_type", extensions=["html", "md"])).select(F.col("doc_id").alias("page_id"), "status", "actual")
+
+
+# -- scores ---------------------------------------------------------------------------------------
+
+FLAGSHIP = {"version": 1, "name": "corpus", "requirements": [
+    {"id": "C1", "description": "100 to 400 words", "checker": "word_count", "parameters": {"min": 100, "max": 400}, "severity": "critical"},
+    {"id": "C2", "description": "no exclamation marks or ampersands", "checker": "forbidden_punctuation", "parameters": {"marks": ["exclamation_mark", "ampersand"]}, "severity": "major"},
+    {"id": "C3", "description": "no licence lines", "checker": "forbidden_text", "parameters": {"value": "licensed under"}, "severity": "minor"},
+    {"id": "C4", "description": "says the", "checker": "required_text", "parameters": {"value": "the"}, "severity": "info"},
+    {"id": "C5", "description": "reads well", "verification_type": "semantic", "severity": "major"},
+    {"id": "C6", "description": "approved by a person", "verification_type": "manual", "severity": "minor", "weight": 3.5},
+    {"id": "C7", "description": "not asked", "checker": "word_count", "parameters": {"min": 1}, "enabled": False},
+]}
+
+_RESULTS = f"""
+    WITH facts AS (SELECT doc_id, lang, source, {_WORDS} AS w, {_MARKS} AS m, len(regexp_extract_all(coalesce(text, ''), '(?i)licensed\\s+under')) AS l, len(regexp_extract_all(coalesce(text, ''), '(?i)the')) AS t FROM documents),
+    results AS (
+        SELECT doc_id, lang, source, 'C1' AS id, 'critical' AS severity, 'deterministic' AS kind, 8.0 AS weight, CASE WHEN w BETWEEN 100 AND 400 THEN 'PASS' ELSE 'FAIL' END AS status FROM facts
+        UNION ALL SELECT doc_id, lang, source, 'C2', 'major', 'deterministic', 4.0, CASE WHEN m = 0 THEN 'PASS' ELSE 'FAIL' END FROM facts
+        UNION ALL SELECT doc_id, lang, source, 'C3', 'minor', 'deterministic', 2.0, CASE WHEN l = 0 THEN 'PASS' ELSE 'FAIL' END FROM facts
+        UNION ALL SELECT doc_id, lang, source, 'C4', 'info', 'deterministic', 1.0, CASE WHEN t > 0 THEN 'PASS' ELSE 'WARNING' END FROM facts
+        UNION ALL SELECT doc_id, lang, source, 'C5', 'major', 'semantic', 4.0, 'UNVERIFIED' FROM facts
+        UNION ALL SELECT doc_id, lang, source, 'C6', 'minor', 'manual', 3.5, 'UNVERIFIED' FROM facts)"""
+
+
+@query(_RESULTS + " SELECT doc_id, id AS requirement_id, severity, status FROM results")
+def q_audit(spark, sf):
+    """Six requirements, one of them advisory (info), over all documents; a seventh is disabled."""
+    return audit.audit(flat_docs(spark, sf), FLAGSHIP).select("doc_id", "requirement_id", "severity", "status")
+
+
+@query(_RESULTS + """
+    SELECT doc_id, count(*) AS total_requirements, CAST(1 AS BIGINT) AS disabled_requirements, count(*) FILTER (kind = 'deterministic') AS machine_verifiable, count(*) FILTER (status <> 'UNVERIFIED') AS verified,
+      count(*) FILTER (status = 'PASS') AS n_pass, count(*) FILTER (status = 'FAIL') AS n_fail, count(*) FILTER (status = 'WARNING') AS n_warning, count(*) FILTER (status = 'UNVERIFIED') AS n_unverified, CAST(0 AS BIGINT) AS n_error,
+      count(*) FILTER (status = 'FAIL' AND severity = 'critical') AS failed_critical, count(*) FILTER (status = 'FAIL' AND severity = 'major') AS failed_major, count(*) FILTER (status = 'FAIL' AND severity = 'minor') AS failed_minor, CAST(0 AS BIGINT) AS failed_info,
+      round_even(CAST(100.0 * sum(CASE status WHEN 'PASS' THEN weight WHEN 'WARNING' THEN weight / 2 ELSE 0 END) / sum(CASE WHEN status <> 'UNVERIFIED' THEN weight END) AS DOUBLE), 1) AS compliance_score,
+      round_even(CAST(100.0 * count(*) FILTER (status = 'PASS') / count(*) FILTER (status <> 'UNVERIFIED') AS DOUBLE), 1) AS unweighted_compliance, round_even(CAST(100.0 * count(*) FILTER (status <> 'UNVERIFIED') / count(*) AS DOUBLE), 1) AS verification_coverage
+    FROM results GROUP BY doc_id""")
+def q_summary(spark, sf):
+    return audit.scores(flat_docs(spark, sf), FLAGSHIP)
+
+
+@query(_RESULTS + """
+    SELECT doc_id, count(*) AS items, count(*) FILTER (status <> 'UNVERIFIED') AS decided, count(*) FILTER (status = 'UNVERIFIED') AS undecided, count(*) FILTER (status = 'UNVERIFIED' AND kind = 'semantic') AS semantic,
+           count(*) FILTER (status = 'UNVERIFIED' AND kind = 'manual') AS human, round_even(CAST(100.0 * count(*) FILTER (status <> 'UNVERIFIED') / count(*) AS DOUBLE), 1) AS decided_share, CAST(1 AS BIGINT) AS suppressed FROM results GROUP BY doc_id""")
+def q_coverage(spark, sf):
+    c = audit.coverage(F.col("results"), 1)
+    d = audit.verdicts(flat_docs(spark, sf), load(FLAGSHIP)).select("doc_id", *[v.alias(k) for k, v in c.items()])
+    return d.select("doc_id", "items", "decided", "undecided", F.col("reasons")["semantic_judgement"].alias("semantic"), F.col("reasons")["human_judgement"].alias("human"), "decided_share", "suppressed")
+
+
+@query(_RESULTS + """
+    SELECT doc_id, count(*) FILTER (status = 'FAIL' AND severity = 'critical') AS critical, count(*) FILTER (status = 'FAIL' AND severity IN ('critical', 'major')) AS major,
+           count(*) FILTER (status = 'FAIL' AND severity IN ('critical', 'major', 'minor')) AS minor, count(*) FILTER (status = 'FAIL') AS "any", CAST(0 AS BIGINT) AS "none", count(*) FILTER (status IN ('FAIL', 'UNVERIFIED')) AS any_or_unverified FROM results GROUP BY doc_id""")
+def q_policy(spark, sf):
+    """How many results block, for each threshold."""
+    r = F.col("results")
+    n = {f: F.size(audit.blocking(r, f)).cast("long") for f in audit.FAIL_ON} | {"any_or_unverified": F.size(audit.blocking(r, "any", True)).cast("long")}
+    return audit.verdicts(flat_docs(spark, sf), load(FLAGSHIP)).select("doc_id", *[v.alias(k) for k, v in n.items()])
+
+
+@query(_RESULTS + " SELECT lang, source, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) AS n FROM results GROUP BY ROLLUP (lang, source)")
+def q_corpus_rollup(spark, sf):
+    """Verdicts by language and source (an extension)."""
+    v = audit.verdicts(flat_docs(spark, sf), load(FLAGSHIP)).select("lang", "source", F.explode("results").alias("r"))
+    return v.rollup("lang", "source").agg(F.count_if(F.col("r.status") == "PASS").alias("passed"), F.count_if(F.col("r.status") == "FAIL").alias("failed"), F.count(F.lit(1)).alias("n"))
+
+
+@query(_RESULTS + " SELECT doc_id, id AS rule_id, CASE WHEN status = 'WARNING' THEN 'warning' WHEN status = 'ERROR' OR severity IN ('critical', 'major') THEN 'error' WHEN severity = 'minor' THEN 'warning' ELSE 'note' END AS level FROM results WHERE status IN ('FAIL', 'ERROR', 'WARNING')")
+def q_sarif_flat(spark, sf):
+    from compliq.reports import sarif_level
+
+    v = audit.audit(flat_docs(spark, sf), FLAGSHIP).where(F.col("status").isin("FAIL", "ERROR", "WARNING"))
+    return v.select("doc_id", F.col("requirement_id").alias("rule_id"), sarif_level(F.col("status"), F.col("severity")).alias("level"))
+
+
+@query(f"SELECT doc_id, {_WORDS} AS word_count, CASE WHEN regexp_matches(coalesce(text, ''), '[^\\s]') THEN 0 ELSE 1 END AS notices FROM documents")
+def q_document_info(spark, sf):
+    return audit.document_info(flat_docs(spark, sf)).select("doc_id", "word_count", F.size("notices").alias("notices"))
+
+
+# -- projects -------------------------------------------------------------------------------------
+
+
+def _manifests(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """All documents as files, and the same after a change: some gone, some new, some other."""
+    d = read(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    before = d.where("doc_id % 10 <> 0").select("path", F.sha2("text", 256).alias("sha256"))
+    after = d.where("doc_id % 10 <> 1").select("path", F.sha2(F.when(F.col("doc_id") % 10 == 2, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"))
+    return before, after
+
+
+_DIFF = """
+    WITH files AS (SELECT doc_id, source || '/doc' || doc_id || '.txt' AS path, coalesce(text, '') AS text FROM documents),
+    before AS (SELECT path, sha256(text) AS h FROM files WHERE doc_id % 10 <> 0), after AS (SELECT path, sha256(CASE WHEN doc_id % 10 = 2 THEN text || '!' ELSE text END) AS h FROM files WHERE doc_id % 10 <> 1),
+    diff AS (SELECT path, CASE WHEN b.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM before b FULL JOIN after a USING (path) WHERE b.h IS DISTINCT FROM a.h)"""
+
+
+@query(_DIFF + " SELECT path, change FROM diff")
+def q_scope_diff(spark, sf):
+    return manifest.changes(*_manifests(spark, sf))
+
+
+@query(_DIFF + """ SELECT path, change, CASE WHEN starts_with(path, 'src1/') OR path GLOB '*doc?2.txt' THEN 'FAIL' WHEN path GLOB 'src*2.txt' OR starts_with(path, 'src5/') THEN 'PASS' ELSE 'FAIL' END AS status,
+    CASE WHEN starts_with(path, 'src1/') OR path GLOB '*doc?2.txt' THEN 'protected path changed' WHEN path GLOB 'src*2.txt' OR starts_with(path, 'src5/') THEN 'change is within the allowed scope' ELSE 'change is outside the allowed scope' END AS label FROM diff""")
+def q_scope_globs(spark, sf):
+    c = manifest.changes(*_manifests(spark, sf))
+    return manifest.judged(c, ["src*2.txt", "src5/"], ["src1/", "*doc?2.txt"]).select("path", "change", "status", "label")
+
+
+_TURNS = "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Always ' WHEN 1 THEN '- never ' ELSE '' END || regexp_extract(coalesce(text, ''), '[A-Za-z]+') AS raw FROM conversations"
+_NORMAL = "trim(regexp_replace(lower(regexp_replace(raw, '^[\\s>*\\-+\\d.)]+', '')), '[\\s`*_]+', ' ', 'g'))"
+
+
+def _directives(spark, sf) -> DataFrame:
+    c = read(spark, sf, "conversations")
+    raw = F.concat(F.when(F.col("turn") % 3 == 0, "Always ").when(F.col("turn") % 3 == 1, "- never ").otherwise(""), F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0))
+    return c.select("conv_id", "turn", raw.alias("raw")).withColumn("norm", instructions.normal(F.col("raw")))
+
+
+@query(f"SELECT norm, conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY conv_id, turn) AS k FROM (SELECT conv_id, turn, {_NORMAL} AS norm FROM ({_TURNS}))) WHERE k > 1")
+def q_context_duplicates(spark, sf):
+    """Lines whose normal form came before, over all conversations."""
+    return instructions.duplicates(_directives(spark, sf), ["conv_id", "turn"]).select("norm", "conv_id", "turn")
+
+
+@query(f"""
+    WITH d AS (SELECT conv_id, turn, CASE WHEN starts_with(norm, 'always ') THEN 1 ELSE -1 END AS sign, regexp_extract(norm, '^(?:always|never) (.+)$', 1) AS action FROM (SELECT conv_id, turn, {_NORMAL} AS norm FROM ({_TURNS}))
+               WHERE regexp_matches(norm, '^(always|never) .+'))
+    SELECT x.conv_id, x.turn, x.action FROM d x WHERE EXISTS (SELECT 1 FROM d y WHERE y.conv_id = x.conv_id AND y.action = x.action AND y.sign = -x.sign AND y.turn < x.turn)""")
+def q_context_contradictions(spark, sf):
+    return instructions.contradictions(_directives(spark, sf), ["turn"], ["conv_id"]).select("conv_id", "turn", "action")
+
+
+@query("""
+    SELECT page_id, CAST(len(list_filter(string_split(html, chr(10)), lambda x: regexp_matches(x, '\\b(TODO|FIXME|NotImplementedError)\\b'))) AS BIGINT) AS n FROM
+    (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN html || chr(10) || 'TODO finish' || chr(10) || 'xTODO' ELSE html END AS html FROM pages)""")
+def q_placeholder_scan(spark, sf):
+    p = read(spark, sf, "pages").select(F.col("page_id").alias("path"), F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("\nTODO finish\nxTODO"))).otherwise(F.col("html")).alias("text"))
+    return instructions.markers(p).select(F.col("path").alias("page_id"), "n")
+
+
+@query()
+def q_validation_issues(spark, sf):
+    """Problems of a wrong specification."""
+    from compliq.plans.spec import validate
+
+    bad = {"version": 1, "name": "wrong", "requirements": [
+        {"id": "A", "description": "x", "checker": "word_cuont"}, {"id": "A", "description": "x", "checker": "word_count", "parameters": {"maxx": 1}}, {"id": "B", "description": "x", "verification_type": "deterministic"},
+    ]}
+    return spark.createDataFrame([(i.level, i.path, i.message) for i in validate(bad)[1]], "level string, path string, message string")
+
+
+@query()
+def q_audit_in_detail(spark, sf):
+    """Messages, evidence and places of the flagship specification."""
+    out = audit.audit_in_detail(flat_docs(spark, sf), FLAGSHIP)
+    return out.select("doc_id", "requirement_id", "status", "message", F.size("evidence").alias("n_evidence"), F.size("locations").alias("n_locations"))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return q_audit(spark, sf)

@@ -1,0 +1,65 @@
+"""Structure as relations: blocks one per row, sections as-of, section ends, exclusion by interval.
+
+Windows are partitioned by document, so a document is the largest group of rows a task must hold; nothing is keyed by anything hotter.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from compliq.functions.text import heading_key_col, word_count
+from compliq.sources.documents import NO_END
+
+
+def lines_as_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Blocks derived from flat text: lines, whose kind and level depend on their number (period 8); for corpora without markup."""
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("i", "text"))
+    n = F.col("i") + 1
+    kind = F.when(n % 8 == 1, "heading").when((n % 8 == 3) | (n % 8 == 4), "list_item").when(n % 8 == 6, "code").otherwise("paragraph")
+    level = F.when(kind == "heading", (F.lit(1) + F.floor(n / 8) % 3).cast("int"))
+    return lines.select("doc_id", n.cast("int").alias("position"), kind.alias("kind"), level.alias("level"), "text")
+
+
+def with_sections(blocks: DataFrame) -> DataFrame:
+    """Adds ``section``: the text of the last heading at or before the block (an as-of join as a running value)."""
+    upto = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    return blocks.withColumn("section", F.last(F.when(F.col("kind") == "heading", F.col("text")), ignorenulls=True).over(upto))
+
+
+def section_spans(blocks: DataFrame) -> DataFrame:
+    """One row per heading: doc_id, position, level, key, until (position of the next heading of its level or above).
+
+    The next such heading per level is a running minimum from the end, so no heading meets another in a join.
+    """
+    heads = blocks.where("kind = 'heading'")
+    after = Window.partitionBy("doc_id").orderBy(F.col("position").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = [F.min(F.when(F.col("level") <= k, F.col("position"))).over(after) for k in range(1, 7)]
+    until = F.coalesce(F.element_at(F.array(*nearest), F.least(F.col("level"), F.lit(6))), F.lit(NO_END))
+    return heads.select("doc_id", "position", "level", heading_key_col(F.col("text")).alias("key"), until.alias("until"))
+
+
+def exclude_sections(blocks: DataFrame, excluded: Column) -> DataFrame:
+    """Blocks outside the sections whose heading satisfies ``excluded`` (over level and text).
+
+    Spans of one document are intervals; instead of an interval join, the furthest end of the excluded spans so far is carried along.
+    """
+    spans = section_spans(blocks).select("doc_id", "position", "until")
+    upto = Window.partitionBy("doc_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    marked = blocks.join(spans, ["doc_id", "position"], "left")
+    reach = F.max(F.when((F.col("kind") == "heading") & excluded, F.col("until"))).over(upto)
+    return marked.withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("position") >= F.col("_reach"))).drop("_reach", "until")
+
+
+def word_totals(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("doc_id").agg(F.sum(word_count(F.col("text"))).cast("bigint").alias("n_words"))
+
+
+def element_totals(blocks: DataFrame) -> DataFrame:
+    """All element counts of a document in one pass."""
+    k = F.col("kind")
+    some = F.col("text").rlike(r"(?U)\S")
+    return blocks.groupBy("doc_id").agg(
+        F.count_if(k == "heading").alias("headings"), F.count_if((k == "heading") & (F.col("level") == 2)).alias("headings_2"), F.count_if(k == "list_item").alias("list_items"),
+        F.count_if(k == "code").alias("code_blocks"), F.count_if(k.isin("paragraph", "quote") & some).alias("paragraphs"),
+    )

@@ -13,7 +13,7 @@ import yaml
 
 from compliq.functions import lexicon
 
-CATEGORIES = ["content", "structure", "style", "terminology", "formatting", "count", "preservation", "references", "file", "other"]
+CATEGORIES = ["content", "style", "structure", "count", "formatting", "terminology", "preservation", "file", "semantic", "other"]
 SEVERITIES = ["critical", "major", "minor", "info"]
 KINDS = ["deterministic", "semantic", "manual", "unsupported"]
 WEIGHTS = {"critical": 8.0, "major": 4.0, "minor": 2.0, "info": 1.0}
