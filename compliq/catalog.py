@@ -512,6 +512,48 @@ def q_placeholder_scan(spark, sf):
     return instructions.markers(p).select(F.col("path").alias("page_id"), "n")
 
 
+# -- text headings, briefs, explanations ----------------------------------------------------------
+
+_LINE = "CASE turn % 3 WHEN 0 THEN upper(w) WHEN 1 THEN '2.1 ' || w ELSE lower(w) END"
+
+
+@query(f"""
+    SELECT CAST(conv_id * 1000 + turn AS VARCHAR) AS doc_id, CASE WHEN turn % 3 = 1 OR (turn % 3 = 0 AND len(replace(w, ' ', '')) >= 3) THEN 'heading' ELSE 'paragraph' END AS kind,
+           CASE WHEN turn % 3 = 1 THEN 2 WHEN turn % 3 = 0 AND len(replace(w, ' ', '')) >= 3 THEN 1 END AS level, NOT (turn % 3 = 1 OR (turn % 3 = 0 AND len(replace(w, ' ', '')) >= 3)) AS candidate, {_LINE} AS text
+    FROM (SELECT conv_id, turn, regexp_extract(coalesce(text, ''), '[A-Za-z]+( [A-Za-z]+)?') AS w FROM conversations) WHERE w <> ''""")
+def q_text_headings(spark, sf):
+    """Headings that plain text implies: by numbering, by capitals; and lines that may be headings."""
+    w = F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+( [A-Za-z]+)?", 0)
+    line = F.when(F.col("turn") % 3 == 0, F.upper(w)).when(F.col("turn") % 3 == 1, F.concat(F.lit("2.1 "), w)).otherwise(F.lower(w))
+    lines = read(spark, sf, "conversations").where(w != "").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), line.alias("text"))
+    return documents.from_text(lines, "txt").select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.kind", "b.level", "b.candidate", "b.text")
+
+
+@query("""
+    WITH b AS (SELECT doc_id, 100 + doc_id % 900 AS n FROM documents)
+    SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'SG001' AS requirement_id, CASE WHEN doc_id % 4 < 2 THEN 'word_count' WHEN doc_id % 4 = 2 THEN 'forbidden_punctuation' END AS checker, CASE doc_id % 4 WHEN 0 THEN '{"min": ' || n || '}' WHEN 1 THEN '{"max": ' || n || '}' WHEN 2 THEN '{"marks": ["em_dash"]}' ELSE '{}' END AS parameters,
+           CASE WHEN doc_id % 4 = 3 THEN 'semantic' ELSE 'deterministic' END AS kind FROM b
+    UNION ALL SELECT CAST(doc_id AS VARCHAR), 'SG002', 'element_count', '{"element": "tables", "exact": ' || n || '}', 'deterministic' FROM b WHERE doc_id % 4 = 2""")
+def q_extract(spark, sf):
+    """Requirements of one brief per document."""
+    from compliq.extract import extract_table
+
+    n = (F.lit(100) + F.col("doc_id") % 900).cast("string")
+    text = (
+        F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Write at least "), n, F.lit(" words."))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Do not write more than "), n, F.lit(" words.")))
+        .when(F.col("doc_id") % 4 == 2, F.concat(F.lit("Do not use em dashes. Use exactly "), n, F.lit(" tables."))).otherwise("Write with warmth in a formal tone.")
+    )
+    return extract_table(read(spark, sf, "documents").select("doc_id", text.alias("text"))).select("doc_id", "requirement_id", "checker", "parameters", "kind")
+
+
+@query()
+def q_preserve_explained(spark, sf):
+    """Where a protected passage was changed or is missing, and how it differs."""
+    first = read(spark, sf, "benchmark").orderBy("item_id").first()["text"]
+    out = audit.audit_in_detail(flat_docs(spark, sf), one_rule("preserve_text", text=first))
+    return out.select("doc_id", "status", "actual", F.get_json_object("details", "$.changed").alias("changed"))
+
+
 @query()
 def q_validation_issues(spark, sf):
     """Problems of a wrong specification."""

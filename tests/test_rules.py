@@ -3,6 +3,7 @@ import pytest
 from compliq.functions import lexicon
 from compliq.plans.detail import describe, word_diff
 from compliq.plans.spec import ParameterError, config
+from compliq.sources import documents
 from compliq.sources.documents import DocumentError, decode, parse_bytes
 from tests.helpers import build_docx, md, run_rule, txt
 
@@ -154,3 +155,13 @@ def test_info_is_advisory_and_errors_are_isolated():
     assert v.status == "WARNING" and v.message.endswith("(advisory: severity is info)")
     v = run_rule(txt("x " * 200), "forbidden_text", value="x")
     assert len(v.locations) == 50 and v.details["locations_total"] == 200
+
+
+def test_own_extractors(monkeypatch):
+    monkeypatch.setattr(documents, "EXTRACTORS", {})
+    documents.register(".Log", "log", lambda data: ([{"position": i, "index": i, "kind": "paragraph", "text": t, "line": i} for i, t in enumerate(data.decode().split("|"), 1)], {}))
+    doc = parse_bytes(b"a b|c", "/x/y.LOG")
+    assert doc["file_type"] == "log" and run_rule(doc, "word_count", exact=3).status == "PASS"
+    for bad in ("md", "log", ""):
+        with pytest.raises(ValueError):
+            documents.register(bad, "x", None)
