@@ -49,7 +49,7 @@ def other_spellings(variant: str) -> str:
     forms = [f"{p[side]}(?:{suffixes})?" for p in _pairs(SPELLING_STEMS)] + [p[side] for p in _pairs(SPELLING_WORDS)]
     if variant == "american":
         forms += [f"{s}is(?:{endings})" for s in ISE_STEMS.split()]
-    return "|".join(f"(?<![A-Za-z]){f}(?![A-Za-z])" for f in forms)
+    return f"(?<![A-Za-z])(?:{'|'.join(forms)})(?![A-Za-z])"
 
 
 SPELLING_PAIRS = len(_pairs(SPELLING_STEMS)) + len(_pairs(SPELLING_WORDS)) + len(ISE_STEMS.split())

@@ -1,9 +1,9 @@
 """Every query against its SQL, and the relational operators on small tables."""
 
-import math
 import numbers
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ def duck(sf):
 
 def rows(df):
     def value(x):
-        if x is None or (isinstance(x, float) and math.isnan(x)):
+        if pd.isna(x):
             return None
         return round(float(x), 6) if isinstance(x, numbers.Number) and not isinstance(x, bool) else str(x)
 
