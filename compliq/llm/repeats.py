@@ -11,8 +11,13 @@ identifiers are used again for the next, longer step. Three things make it fit a
   among equals). The choice depends on the window's bytes alone, so equal windows meet in the bucket of equal q-grams. Windows in a
   row share their suffix, so there is about one row for 85 bytes of text.
 - Buckets with one row are final and leave at once. The others are refined by the identifiers that cover the whole stretch
-  under a suffix's windows: stretches that occur twice are wholly repeated. Only what is still single in a bucket with
-  several kinds of stretches goes down to single windows, and there each kind counts once, however many copies it has.
+  under a suffix's windows: stretches that occur twice are wholly repeated. What is still single in a bucket with several kinds of
+  stretches is refined in blocks of 16 windows, by the identifier of the bytes that all of them share (single: none is repeated) and
+  of the bytes that any of them covers (double: all are repeated). Only blocks between the two go down to single windows.
+  Each kind counts once at every step, however many copies it has.
+
+Texts are needed again at three steps. They are joined to what is asked of them, compressed, and only those that a Bloom filter of
+bounded size lets through; a full filter lets more through and changes nothing else.
 
 Two strings are taken for equal if 64-bit identifiers agree in the same bucket, itself a 64-bit identifier.
 
@@ -32,7 +37,9 @@ from pyspark.sql import functions as F
 
 from compliq.llm.common import materialize, table, text_of
 
-Q, LONG = 32, 128
+Q, LONG, BLOCK = 32, 128, 16
+#: Words of 64 bits of a Bloom filter, at most (8 MB), and its hashes.
+BLOOM_WORDS, HASHES = 1 << 20, 4
 #: Bytes handled at once; positions in a piece take 24 bits.
 PIECE = 1 << 21
 _LOW = np.uint64(0xFFFFFF)
@@ -75,7 +82,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def suffixes(texts: list[bytes], length: int = 200) -> tuple[np.ndarray, ...]:
-    """Of each sampled suffix: text's index, first and last start of its windows, bucket, identifier of the stretch of its windows."""
+    """Of each sampled suffix: text's index, first and last start of its windows, its own start, bucket, identifier of the stretch of its windows."""
     pieces, found = [], []
     size = 0
 
@@ -93,8 +100,8 @@ def suffixes(texts: list[bytes], length: int = 200) -> tuple[np.ndarray, ...]:
                 flush()
     flush()
     if not found:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    return tuple(np.concatenate([f[k] for f in found]) for k in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(6))
 
 
 def _suffixes(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
@@ -119,14 +126,35 @@ def _suffixes(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.nda
     stretch = _step(stretch, ((at - lo) * 4096 + (hi - lo)).astype(np.uint64))
     piece = np.searchsorted(ends, lo, side="right")
     shift = np.array([p[1] for p in pieces])[piece] - begins[piece]
-    return np.array([p[0] for p in pieces])[piece], lo + shift, hi + shift, short[at].view(np.int64), stretch.view(np.int64)
-
-
-def windows(text: bytes, lo: int, hi: int, length: int = 200) -> np.ndarray:
-    """Identifiers of the windows that start from lo to hi."""
-    (long,) = identifiers(text[lo : hi + length], LONG)
-    k = np.arange(hi - lo + 1)
-    return _step(long[k], long[k + length - LONG]).view(np.int64)
+    return np.array([p[0] for p in pieces])[piece], lo + shift, hi + shift, at + shift, short[at].view(np.int64), stretch.view(np.int64)
+
+
+def blocks(text: bytes, asked: list[dict], length: int = 200) -> list[np.ndarray]:
+    """Of the blocks of windows of the suffixes asked for, each once: suffix, block, copies, identifier of the shared bytes, of all bytes, and whether all windows are inside the text."""
+    (long,) = identifiers(text, LONG)
+    most: dict[tuple[int, int], tuple[int, int]] = {}
+    for q in asked:
+        for j in range((q["at"] - q["hi"]) // BLOCK, (q["at"] - q["lo"]) // BLOCK + 1):
+            most[q["at"], j] = max(most.get((q["at"], j), (0, 0)), (q["m"], q["bucket"]))
+    at, j = np.array(list(most), np.int64).reshape(-1, 2).T
+    m, bucket = np.array(list(most.values()), np.int64).reshape(-1, 2).T
+    last = at - BLOCK * j
+    first = last - BLOCK + 1
+    tag = (bucket.view(np.uint64) ^ (j.astype(np.uint64) * _B)) * _A
+    shared = _step(_step(long[last], long[first + length - LONG]), tag)
+    whole = (first >= 0) & (last + length <= len(text))
+    lo, hi = np.where(whole, first, 0), np.where(whole, last + length - LONG, 0)
+    every = _step(_step(long[lo], long[hi]), tag)
+    return [at, j, m, shared.view(np.int64), every.view(np.int64), whole]
+
+
+def windows(text: bytes, at: int, j: int, length: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and identifiers of the windows of a block that are inside the text; in an identifier goes the distance to the suffix, since near periodic text a window lies under two suffixes of a bucket."""
+    last = at - BLOCK * j
+    begin = np.arange(max(last - BLOCK + 1, 0), min(last, len(text) - length) + 1)
+    (long,) = identifiers(text[begin[0] : begin[-1] + length], LONG)
+    k = begin - begin[0]
+    return begin, _step(_step(long[k], long[k + length - LONG]), (at - begin).astype(np.uint64)).view(np.int64)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -141,71 +169,136 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _check_length(length: int) -> None:
-    if not LONG + 8 <= length <= 2 * LONG:
-        raise ValueError(f"length must be {LONG + 8} to {2 * LONG}")
+    if not LONG + BLOCK <= length <= 2 * LONG - BLOCK:
+        raise ValueError(f"length must be {LONG + BLOCK} to {2 * LONG - BLOCK}")
+
+
+class Bloom:
+    """A filter over (id, key) rows: built as bit words by an aggregate, of bounded size whatever the number of rows."""
+
+    def __init__(self, rows: DataFrame):
+        n = rows.count()
+        self.words = min(BLOOM_WORDS, 1 << max(4, (n * 10 // 64).bit_length()))
+        h = F.xxhash64("id", "key")
+        places = [F.pmod(h.bitwiseAND(F.lit(0xFFFFFFFF)) + F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1)) * k, F.lit(self.words * 64)) for k in range(HASHES)]
+        bits = rows.select(F.explode(F.array(*places)).alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
+        found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most BLOOM_WORDS rows
+        self.bits = np.zeros(self.words, np.int64)
+        self.bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+
+    def contains(self, h: np.ndarray) -> np.ndarray:
+        a, b = h & 0xFFFFFFFF, ((h >> 32) & 0xFFFFFFFF) | 1
+        out = np.ones(len(h), bool)
+        for k in range(HASHES):
+            p = (a + b * k) % (self.words * 64)
+            out &= (self.bits[p >> 6] >> (p & 63)) & 1 == 1
+        return out
 
 
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
     """One row per input row: id, text (binary), spans array<struct<begin, end>>: the maximal runs of bytes to remove."""
     _check_length(length)
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_of(docs, text_col)
-    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
+    unique = docs.groupBy(docs[id_col].alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").isEmpty()
+    # ids tell rows apart; where they do not, a hash of the text helps
+    key = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    rows = docs.select(docs[id_col].alias("id"), key.alias("key"), text.cast("binary").alias("text"))
+    shape = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            i, lo, hi, bucket, stretch = suffixes([x.as_py() for x in b.column("text")], length)
+            i, lo, hi, at, bucket, stretch = suffixes([x.as_py() for x in b.column("text")], length)
             i = pa.array(i)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(stretch), b.column("id").take(i), b.column("key").take(i), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["bucket", "stretch", "id", "key", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(stretch), b.column("id").take(i), b.column("key").take(i), *[pa.array(x, pa.int32()) for x in (lo, hi, at)]], names=["bucket", "stretch", "id", "key", "lo", "hi", "at"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            z = pa.array([pa.compress(x.as_py(), codec="zstd", asbytes=True) for x in b.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), b.column("n"), z], names=["id", "key", "n", "z"])
+    def pack(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                b = b.filter(pa.array(shared.value.contains(b.column("h").to_numpy(zero_copy_only=False).astype(np.int64))))
+                z = pa.array([pa.compress(x.as_py(), codec="zstd", asbytes=True) for x in b.column("text")], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), b.column("n"), z], names=["id", "key", "n", "z"])
+
+        return run
 
     def unpack(z: bytes, n: int) -> bytes:
         return pa.decompress(z, n, codec="zstd", asbytes=True) if n else b""
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts_for(asked: DataFrame, shared) -> DataFrame:
+        """The texts, compressed, of the rows of ``asked``: (id, key, n, z) and what is asked."""
+        hashed = rows.select("*", F.length("text").cast("long").alias("n"), F.xxhash64("id", "key").alias("h"))
+        packed = hashed.mapInArrow(pack(shared), f"id {kind}, key long, n long, z binary")
+        return asked.join(packed, asked["id"].eqNullSafe(packed["id"]) & (asked["key"] == packed["key"])).select(asked["id"], asked["key"], "n", "z", *[c for c in asked.columns if c not in ("id", "key")])
+
+    def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, keys, asked = b.column("id"), b.column("key"), b.column("asked")
-            for k, (n, z) in enumerate(zip(b.column("n").to_pylist(), b.column("z"), strict=True)):
-                data = unpack(z.as_py(), n)
-                for q in asked[k].as_py():
-                    w = windows(data, q["lo"], q["hi"], length)
-                    at = pa.array(np.full(len(w), k))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), q["bucket"])), pa.array(w), pa.array(np.full(len(w), q["m"])), ids.take(at), keys.take(at), pa.array(np.arange(q["lo"], q["hi"] + 1), pa.int32())], names=["bucket", "window", "m", "id", "key", "begin"])
-
-    packed = rows.withColumn("n", F.length("text").cast("long")).mapInArrow(pack, f"id {kind}, key long, n long, z binary")
-    every = rows.mapInArrow(sample, f"bucket long, stretch long, id {kind}, key long, lo int, hi int")
-    # buckets with one row are final
-    shared = materialize(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket"))
-    kept = materialize(every.join(shared, "bucket"))
-    # refined by the identifiers over the whole stretch; any row stands for its like
-    kinds = materialize(kept.groupBy("bucket", "stretch").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in ("id", "key", "lo", "hi")]))
-    mixed = materialize(kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1").select("bucket"))
-    whole = kept.join(materialize(kinds.where("m > 1").select("bucket", "stretch")), ["bucket", "stretch"]).select("id", "key", F.col("lo").alias("begin"), (F.col("hi") + length).alias("end"))
-    # what is single in a mixed bucket is refined window by window
-    asked = kinds.join(mixed, "bucket").groupBy("id", "key").agg(F.collect_list(F.struct("bucket", "m", "lo", "hi")).alias("asked"))
-    asked = materialize(asked)
-    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["key"] == b["key"])
-    wide = asked.join(packed, same(asked, packed)).select(asked["id"], asked["key"], "n", "z", "asked")
-    lone = materialize(wide.mapInArrow(single, f"bucket long, window long, m long, id {kind}, key long, begin int"))
-    again = materialize(lone.groupBy("bucket", "window").agg(F.sum("m").alias("m")).where("m > 1").select("bucket", "window"))
-    part = lone.where("m = 1").join(again, ["bucket", "window"]).select("id", "key", "begin", (F.col("begin") + length).alias("end"))
-    spans = whole.union(part).groupBy("id", "key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # bounded by the text
-    spans = materialize(spans)
+            for k in range(b.num_rows):
+                at, j, m, shared, every, whole = blocks(unpack(b.column("z")[k].as_py(), b.column("n")[k].as_py()), b.column("asked")[k].as_py(), length)
+                mine = pa.array(np.full(len(at), k))
+                cols = [b.column("id").take(mine), b.column("key").take(mine), pa.array(at, pa.int32()), pa.array(j, pa.int32()), pa.array(m), pa.array(shared), pa.array(every, mask=~whole)]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "at", "j", "m", "shared", "every"])
+
+    def in_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                data = unpack(b.column("z")[k].as_py(), b.column("n")[k].as_py())
+                for q in b.column("asked")[k].as_py():
+                    begin, w = windows(data, q["at"], q["j"], length)
+                    mine, same = pa.array(np.full(len(w), k)), lambda x, w=w: pa.array(np.full(len(w), x))
+                    yield pa.RecordBatch.from_arrays([same(q["shared"]), pa.array(w), same(q["m"]), b.column("id").take(mine), b.column("key").take(mine), pa.array(begin, pa.int32())], names=["shared", "window", "m", "id", "key", "begin"])
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
         for b in batches:
             text = [unpack(z.as_py(), n.as_py()) for z, n in zip(b.column("z"), b.column("n"), strict=True)]
-            cut = [merge([(x["begin"], x["end"]) for x in s.as_py() or []]) for s in b.column("spans")]
-            cut = [[{"begin": x, "end": y} for x, y in c] for c in cut]
+            cut = [[{"begin": x, "end": y} for x, y in merge([(x["begin"], x["end"]) for x in s.as_py()])] for s in b.column("spans")]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(text, pa.binary()), pa.array(cut, shape)], names=["id", "text", "spans"])
 
-    out = packed.join(spans, same(packed, spans), "left").select(packed["id"], "n", "z", "spans")
-    return out.mapInArrow(give, f"id {kind}, text binary, spans array<struct<begin:int,end:int>>").withColumnRenamed("id", id_col)
+    def untouched(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                b = b.filter(pa.array(~shared.value.contains(b.column("h").to_numpy(zero_copy_only=False).astype(np.int64))))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array([[]] * b.num_rows, shape)], names=["id", "text", "spans"])
+
+        return run
+
+    def repeated(df: DataFrame, *by: str) -> DataFrame:
+        return materialize(df.groupBy(*by).agg(F.sum("m").alias("t")).where("t > 1").select(*by))
+
+    bloom = lambda asked: spark.sparkContext.broadcast(Bloom(asked))  # noqa: E731  of bounded size
+    every = rows.mapInArrow(sample, f"bucket long, stretch long, id {kind}, key long, lo int, hi int, at int")
+    # buckets with one row are final
+    shared = repeated(every.select("bucket", F.lit(1).alias("m")), "bucket")
+    kept = materialize(every.join(shared, "bucket"))
+    # refined by the identifiers over the whole stretch; any row stands for its like
+    kinds = materialize(kept.groupBy("bucket", "stretch").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in ("id", "key", "lo", "hi", "at")]))
+    mixed = materialize(kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1").select("bucket"))
+    whole = kept.join(materialize(kinds.where("m > 1").select("bucket", "stretch")), ["bucket", "stretch"]).select("id", "key", F.col("lo").alias("begin"), (F.col("hi") + length).alias("end"))
+    # what is single in a mixed bucket is refined in blocks of windows
+    asked = materialize(kinds.join(mixed, "bucket").groupBy("id", "key").agg(F.collect_list(F.struct("bucket", "m", "lo", "hi", "at")).alias("asked")))  # bounded by the text
+    made = materialize(texts_for(asked, bloom(asked)).mapInArrow(in_blocks, f"id {kind}, key long, at int, j int, m long, shared long, every long"))
+    live = materialize(made.join(repeated(made, "shared"), "shared"))
+    double = repeated(live.where("every is not null"), "every").withColumn("all", F.lit(True))
+    live = materialize(live.join(double, "every", "left"))
+    last = F.col("at") - BLOCK * F.col("j")
+    in_full = live.where("m = 1 and all").select("id", "key", (last - (BLOCK - 1)).alias("begin"), (last + length).alias("end"))
+    # and what is still open, window by window, with one of each kind that it shares bytes with
+    unsettled = materialize(live.where("m = 1 and all is null").select("shared").distinct())
+    near = materialize(live.join(unsettled, "shared"))
+    one_each = near.where("every is not null").groupBy("shared", "every").agg(F.sum("m").alias("m"), *[F.first(c).alias(c) for c in ("id", "key", "at", "j")]).drop("every")
+    others = near.where("every is null").select(*one_each.columns)
+    asked = materialize(one_each.union(others).groupBy("id", "key").agg(F.collect_list(F.struct("shared", "m", "at", "j")).alias("asked")))
+    lone = materialize(texts_for(asked, bloom(asked)).mapInArrow(in_windows, f"shared long, window long, m long, id {kind}, key long, begin int"))
+    part = lone.where("m = 1").join(repeated(lone, "shared", "window"), ["shared", "window"]).select("id", "key", "begin", (F.col("begin") + length).alias("end"))
+    spans = whole.union(in_full).union(part).groupBy("id", "key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # bounded by the text
+    spans = materialize(spans)
+    filtered = bloom(spans)
+    out = f"id {kind}, text binary, spans array<struct<begin:int,end:int>>"
+    hashed = rows.select("*", F.xxhash64("id", "key").alias("h"))
+    # a text that the filter stops has no spans; of those that it lets through, some have none either
+    through = rows.withColumns({"n": F.length("text").cast("long"), "h": F.xxhash64("id", "key")}).mapInArrow(pack(filtered), f"id {kind}, key long, n long, z binary")
+    both = through.join(spans, through["id"].eqNullSafe(spans["id"]) & (through["key"] == spans["key"]), "left").select(through["id"], "n", "z", F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int>>")).alias("spans"))
+    return both.mapInArrow(give, out).union(hashed.mapInArrow(untouched(filtered), out)).withColumnRenamed("id", id_col)
 
 
 def cut(text: bytes, spans: list[dict]) -> bytes:

@@ -69,7 +69,7 @@ def test_long_texts_are_cut_in_pieces(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 1000)
     rng = random.Random(6)
     data = bytes(rng.choice(b"abcdef") for _ in range(5321))
-    i, lo, hi, bucket, stretch = repeats.suffixes([data, b"short", data[:400], data])
+    i, lo, hi, at, bucket, stretch = repeats.suffixes([data, b"short", data[:400], data])
     for k, n in ((0, len(data)), (2, 400), (3, len(data))):
         mine = i == k
         covered = np.concatenate([np.arange(a, b + 1) for a, b in zip(lo[mine], hi[mine])])
@@ -77,6 +77,13 @@ def test_long_texts_are_cut_in_pieces(monkeypatch):
     assert sorted(zip(lo[i == 0], bucket[i == 0], stretch[i == 0])) == sorted(zip(lo[i == 3], bucket[i == 3], stretch[i == 3]))
 
 
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOOM_WORDS", 16)
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcd ") for _ in range(900))
+    check(documents(spark, [(i, base[rng.randrange(300) :][: rng.randrange(150, 600)] + str(i) * rng.randrange(3)) for i in range(150)]))
+
+
 def test_awkward_and_empty(spark):
     check(awkward(spark).where("n_chars < 1000").union(documents(spark, [(8, "ab" * 400), (9, None)])))
     assert repeats.repeated_spans(empty(spark)).count() == 0
