@@ -41,7 +41,9 @@ Q, LONG, BLOCK = 32, 128, 16
 #: Words of 64 bits of a Bloom filter, at most (8 MB), and its hashes.
 BLOOM_WORDS, HASHES = 1 << 20, 4
 #: Bytes handled at once; positions in a piece take 24 bits.
-PIECE = 1 << 21
+PIECE = 1 << 19
+#: Rows of a batch handled at once.
+ROWS = 256
 _LOW = np.uint64(0xFFFFFF)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -173,6 +175,13 @@ def _check_length(length: int) -> None:
         raise ValueError(f"length must be {LONG + BLOCK} to {2 * LONG - BLOCK}")
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in small slices, so that Python objects are made for few rows at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
 class Bloom:
     """A filter over (id, key) rows: built as bit words by an aggregate, of bounded size whatever the number of rows."""
 
@@ -208,14 +217,14 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shape = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             i, lo, hi, at, bucket, stretch = suffixes([x.as_py() for x in b.column("text")], length)
             i = pa.array(i)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(stretch), b.column("id").take(i), b.column("key").take(i), *[pa.array(x, pa.int32()) for x in (lo, hi, at)]], names=["bucket", "stretch", "id", "key", "lo", "hi", "at"])
 
     def pack(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in parts(batches):
                 b = b.filter(pa.array(shared.value.contains(b.column("h").to_numpy(zero_copy_only=False).astype(np.int64))))
                 z = pa.array([pa.compress(x.as_py(), codec="zstd", asbytes=True) for x in b.column("text")], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), b.column("n"), z], names=["id", "key", "n", "z"])
@@ -232,7 +241,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         return asked.join(packed, asked["id"].eqNullSafe(packed["id"]) & (asked["key"] == packed["key"])).select(asked["id"], asked["key"], "n", "z", *[c for c in asked.columns if c not in ("id", "key")])
 
     def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for k in range(b.num_rows):
                 at, j, m, shared, every, whole = blocks(unpack(b.column("z")[k].as_py(), b.column("n")[k].as_py()), b.column("asked")[k].as_py(), length)
                 mine = pa.array(np.full(len(at), k))
@@ -240,7 +249,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "at", "j", "m", "shared", "every"])
 
     def in_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             for k in range(b.num_rows):
                 data = unpack(b.column("z")[k].as_py(), b.column("n")[k].as_py())
                 for q in b.column("asked")[k].as_py():
@@ -249,14 +258,14 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     yield pa.RecordBatch.from_arrays([same(q["shared"]), pa.array(w), same(q["m"]), b.column("id").take(mine), b.column("key").take(mine), pa.array(begin, pa.int32())], names=["shared", "window", "m", "id", "key", "begin"])
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             text = [unpack(z.as_py(), n.as_py()) for z, n in zip(b.column("z"), b.column("n"), strict=True)]
             cut = [[{"begin": x, "end": y} for x, y in merge([(x["begin"], x["end"]) for x in s.as_py()])] for s in b.column("spans")]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(text, pa.binary()), pa.array(cut, shape)], names=["id", "text", "spans"])
 
     def untouched(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in parts(batches):
                 b = b.filter(pa.array(~shared.value.contains(b.column("h").to_numpy(zero_copy_only=False).astype(np.int64))))
                 yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array([[]] * b.num_rows, shape)], names=["id", "text", "spans"])
 
@@ -314,7 +323,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``, repeated strings of 200 bytes."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             out = [(len(t), s, hashlib.sha256(cut(t, s)).hexdigest()) for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
             removed = [sum(x["end"] - x["begin"] for x in s) for _, s, _ in out]
             cols = [[n for n, _, _ in out], removed, [len(s) for _, s, _ in out]]
