@@ -35,11 +35,21 @@ def shared_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/compliq/{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/compliq/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application has materialized. For when its results are written: they read those tables until then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (narrow and cheap to count) with a broadcast hint if it has at most ``limit`` rows."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -177,3 +177,11 @@ def test_url_tree_rejects_blocked_templates_and_merges_like_ones(spark):
     assert len({r.template for u, r in rows.items() if u and "/spam/" in u and r.rule is None}) < 50
     none = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.url_verdicts(none).count() == 0
+
+
+def test_materialized_tables_can_be_released(spark):
+    df = common.materialize(spark.range(5).toDF("x"))
+    assert df.count() == 5
+    common.release(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FILE_NOT_EXIST|does not exist"):
+        spark.read.parquet(*df.inputFiles()).count()
