@@ -35,19 +35,24 @@ def _row_doc(names: list[str], batch: pa.RecordBatch, i: int) -> dict[str, Any]:
 def verdicts(docs: DataFrame, spec: Specification, registry: dict | None = None, verifier: Any = None) -> DataFrame:
     """``docs`` with ``results``: one RESULT per enabled requirement, in the specification's order."""
     doc = {k: F.col(k) for k in ("blocks", "path", "file_type", "meta")}
-    made, rest = [], []
+    facts, made, rest, columns = native.Facts(), {}, [], docs.columns
     for i, r in enumerate(spec.enabled):
         custom = bool(registry and r.checker in registry) or (verifier is not None and r.verification_type == "semantic")
-        v = None if custom else native.compile_rule(r, doc, spec.base_dir)
+        v = None if custom else native.compile_rule(r, doc, facts, spec.base_dir)
         if v is None:
             rest.append((i, r))
             v = F.element_at(F.col("_slow"), len(rest)).cast(native.VERDICT)
-        fixed = {"ord": F.lit(i), "requirement_id": F.lit(r.id), "checker": F.lit(r.checker), "severity": F.lit(r.severity), "kind": F.lit(r.verification_type), "weight": F.lit(float(r.effective_weight))}
-        made.append(F.struct(*[c.alias(k) for k, c in fixed.items()], *[v[k].alias(k) for k in ("status", "expected", "actual", "n", "confidence")]).cast(RESULT))
+        made[f"_verdict{i}"] = v
     if rest:
         docs = _slow(docs, rest, spec.base_dir, registry, verifier)
-    results = F.array(*made) if made else F.array().cast(f"array<{RESULT}>")
-    return docs.withColumn("results", results).drop("_slow")
+    for step in [s for s in (*facts.steps, made) if s]:
+        docs = docs.withColumns(step)
+    results = []
+    for i, r in enumerate(spec.enabled):
+        fixed = {"ord": F.lit(i), "requirement_id": F.lit(r.id), "checker": F.lit(r.checker), "severity": F.lit(r.severity), "kind": F.lit(r.verification_type), "weight": F.lit(float(r.effective_weight))}
+        v = F.col(f"_verdict{i}")
+        results.append(F.struct(*[c.alias(k) for k, c in fixed.items()], *[v[k].alias(k) for k in ("status", "expected", "actual", "n", "confidence")]).cast(RESULT))
+    return docs.select(*columns, (F.array(*results) if results else F.array().cast(f"array<{RESULT}>")).alias("results"))
 
 
 def _slow(docs: DataFrame, rest: list[tuple[int, Requirement]], base_dir, registry, verifier) -> DataFrame:
@@ -70,8 +75,13 @@ def _slow(docs: DataFrame, rest: list[tuple[int, Requirement]], base_dir, regist
 def audit(docs: DataFrame, spec: Any, registry: dict | None = None, verifier: Any = None) -> DataFrame:
     """One row per document and enabled requirement: doc_id and the fields of RESULT."""
     spec = load(spec, registry=registry)
-    out = verdicts(docs, spec, registry, verifier).select("doc_id", F.explode("results").alias("r"))
-    return out.select("doc_id", "r.*")
+    return exploded(verdicts(docs, spec, registry, verifier), "doc_id").select("doc_id", "r.*")
+
+
+def exploded(docs: DataFrame, *keep: str) -> DataFrame:
+    """One row per result, as ``r``. The outer form spares the filter for empty arrays that Catalyst would infer, push below and
+    so evaluate all rules twice for; a specification without requirements has no results at all."""
+    return docs.select(*keep, F.explode_outer("results").alias("r")).where("r is not null")
 
 
 def audit_in_detail(docs: DataFrame, spec: Any, registry: dict | None = None, verifier: Any = None) -> DataFrame:

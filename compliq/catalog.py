@@ -434,7 +434,7 @@ def q_policy(spark, sf):
 @query(_RESULTS + " SELECT lang, source, count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) AS n FROM results GROUP BY ROLLUP (lang, source)")
 def q_corpus_rollup(spark, sf):
     """Verdicts by language and source (an extension)."""
-    v = audit.verdicts(flat_docs(spark, sf), load(FLAGSHIP)).select("lang", "source", F.explode("results").alias("r"))
+    v = audit.exploded(audit.verdicts(flat_docs(spark, sf), load(FLAGSHIP)), "lang", "source")
     return v.rollup("lang", "source").agg(F.count_if(F.col("r.status") == "PASS").alias("passed"), F.count_if(F.col("r.status") == "FAIL").alias("failed"), F.count(F.lit(1)).alias("n"))
 
 

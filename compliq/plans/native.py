@@ -20,6 +20,31 @@ from compliq.plans.spec import Requirement, config
 VERDICT = "struct<status:string,expected:string,actual:string,n:bigint,confidence:double>"
 
 
+class Facts:
+    """What rules need, as columns of their own: computed once a row, in steps, and then only referred to.
+
+    Without it an expression would be evaluated wherever it occurs. Catalyst keeps the steps apart, since it does not inline
+    what is costly and used more than once.
+    """
+
+    def __init__(self) -> None:
+        self.steps: list[dict[str, Column]] = [{}, {}, {}, {}]
+        self._known: dict[tuple, str] = {}
+
+    def add(self, step: int, col: Column, key: str | None = None) -> Column:
+        """``key``: facts of the same step and key are one."""
+        name = self._known.get((step, key)) if key else None
+        if name is None:
+            name = f"_fact{step}_{len(self.steps[step])}"
+            self.steps[step][name] = col
+            if key:
+                self._known[step, key] = name
+        return F.col(name)
+
+    def units(self, blocks: Column, scope: dict | None = None) -> Column:
+        return self.add(0, units(blocks, scope), repr(scope))
+
+
 def has_text(b: Column) -> Column:
     return b["text"].rlike(U + r"\S")
 
@@ -52,9 +77,8 @@ def norm_literal(text: Column, case: bool) -> Column:
     return one if case else folded(one)
 
 
-def value_counts(matches: Column, values: list[str], case: bool) -> list[Column]:
-    """How often each value was matched; of values that are equal when folded, the last counts."""
-    keys = F.transform(matches, lambda m: norm_literal(m, case))
+def value_counts(keys: Column, values: list[str], case: bool) -> list[Column]:
+    """How often each value is among the normal forms ``keys``; of values that are equal when folded, the last counts."""
     norm = lambda v: re.sub(r"\s+", " ", v) if case else re.sub(r"\s+", " ", v).casefold()
     last = {norm(v): v for v in values}
     times = lambda key: F.size(F.filter(keys, lambda k: k == key)).cast("bigint")
@@ -92,22 +116,25 @@ def _count_verdict(n: Column, bounds: tuple, noun: str, label: str = "", one: Co
     return verdict(bounded(n, bounds), label + bounds_text(bounds, noun), actual, n, confidence)
 
 
-def _words(b: Column, c: dict, doc: dict) -> Column:
-    return _count_verdict(total(units(b, c["scope"]), lambda u: word_count(u["text"], c["method"])), c["bounds"], "words")
+def _words(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
+    n = facts.add(1, total(facts.units(b, c["scope"]), lambda u: word_count(u["text"], c["method"])))
+    return _count_verdict(n, c["bounds"], "words")
 
 
-def _forbidden(b: Column, c: dict, doc: dict) -> Column:
-    n = total(units(b, c["scope"]), lambda u: F.regexp_count(flat(u["text"]), F.lit(java(literal_pattern(c["values"], c["whole"]), c["case"]))))
+def _forbidden(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
+    n = facts.add(1, total(facts.units(b, c["scope"]), lambda u: F.regexp_count(flat(u["text"]), F.lit(java(literal_pattern(c["values"], c["whole"]), c["case"])))))
     return verdict(n == 0, f"None of: {quoted(c['values'])}", counted_col(n, "occurrence"), n)
 
 
-def _required(b: Column, c: dict, doc: dict) -> Column:
-    body = F.filter(b, lambda x: (x["kind"] == "paragraph") & ~x["candidate"] & has_text(x))
-    inside = units(b, c["scope"])
+def _required(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
+    inside = facts.units(b, c["scope"])
     if c["within"] != "document":
+        body = facts.add(0, F.filter(b, lambda x: (x["kind"] == "paragraph") & ~x["candidate"] & has_text(x)), "body")
         target = F.try_element_at(body, F.lit(1 if c["within"] == "first_paragraph" else -1))["position"]
         inside = F.filter(inside, lambda u: (u["position"] == target) & (u["kind"] == "paragraph"))
-    counts = value_counts(found(inside, java(literal_pattern(c["values"], c["whole"]), c["case"])), c["values"], c["case"])
+    hits = facts.add(1, found(inside, java(literal_pattern(c["values"], c["whole"]), c["case"])))
+    keys = facts.add(2, F.transform(hits, lambda m: norm_literal(m, c["case"])))
+    counts = [facts.add(3, n) for n in value_counts(keys, c["values"], c["case"])]
     list_of = lambda test: F.array_join(F.array_compact(F.array(*[F.when(test(n), F.lit(f'"{v}"')) for v, n in zip(c["values"], counts, strict=True)])), ", ")
     hit = sum([F.when(n > 0, 1).otherwise(0) for n in counts], F.lit(0))
     every = c["require"] == "all"
@@ -120,15 +147,15 @@ def _required(b: Column, c: dict, doc: dict) -> Column:
     return F.when(F.size(body) == 0, none.withField("status", F.lit("UNVERIFIED"))).otherwise(out)
 
 
-def _punctuation(b: Column, c: dict, doc: dict) -> Column:
-    n = total(units(b, c["scope"]), lambda u: F.regexp_count(flat(u["text"]), F.lit(literal_pattern(c["values"], False))))
+def _punctuation(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
+    n = facts.add(1, total(facts.units(b, c["scope"]), lambda u: F.regexp_count(flat(u["text"]), F.lit(literal_pattern(c["values"], False)))))
     return verdict(n <= c["most"], f"{quoted(c['values'])}: {'at most ' + str(c['most']) if c['most'] else 'none'} allowed", counted_col(n, "occurrence"), n)
 
 
-def _occurrences(b: Column, c: dict, doc: dict) -> Column | None:
+def _occurrences(b: Column, c: dict, doc: dict, facts: Facts) -> Column | None:
     if c["text"] is None:
         return None
-    n = total(units(b, c["scope"]), lambda u: F.regexp_count(flat(u["text"]), F.lit(java(literal_pattern([c["text"]], c["whole"]), c["case"]))))
+    n = facts.add(1, total(facts.units(b, c["scope"]), lambda u: F.regexp_count(flat(u["text"]), F.lit(java(literal_pattern([c["text"]], c["whole"]), c["case"])))))
     return _count_verdict(n, c["bounds"], "occurrences", f'"{c["text"]}": ', counted_col(n, "occurrence"))
 
 
@@ -146,8 +173,8 @@ def element_counts(b: Column, element: str, level: int | None = None, names: lis
     return F.size(F.filter(b, tests[element])).cast("bigint")
 
 
-def _elements(b: Column, c: dict, doc: dict) -> Column:
-    n = element_counts(b, c["element"], c["level"], c["names"])
+def _elements(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
+    n = facts.add(1, element_counts(b, c["element"], c["level"], c["names"]))
     return _count_verdict(n, c["bounds"], c["element"].replace("_", " "), confidence=0.8 if c["element"] == "references" else 1.0)
 
 
@@ -157,7 +184,7 @@ def _first(b: Column, fits: Callable[[Column], Column]) -> Column:
     return F.try_element_at(F.concat(heads, F.filter(b, lambda x: x["candidate"] & fits(x))), F.lit(1))
 
 
-def _sections(b: Column, c: dict, doc: dict) -> Column:
+def _sections(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
     fold = not c["case"]
     first = []
     for group in c["groups"]:
@@ -171,7 +198,7 @@ def _sections(b: Column, c: dict, doc: dict) -> Column:
                 out = out | t
             return out
 
-        first.append(_first(b, fits))
+        first.append(facts.add(1, _first(b, fits)))
     labels = [" / ".join(g) for g in c["groups"]]
     joined = lambda xs: F.array_join(F.array_compact(F.array(*xs)), ", ")
     hit = sum([F.when(x.isNotNull(), 1).otherwise(0) for x in first], F.lit(0))
@@ -192,7 +219,7 @@ def _sections(b: Column, c: dict, doc: dict) -> Column:
     return verdict(ok & ~wrong_order, expected, actual, hit, F.when(ok & ~wrong_order & inferred, 0.8).otherwise(1.0))
 
 
-def preserved(b: Column, c: dict) -> list[Column]:
+def preserved(b: Column, c: dict, facts: Facts) -> list[Column]:
     """For each item, whether it appears unchanged."""
 
     def norm(text: Column) -> Column:
@@ -201,27 +228,28 @@ def preserved(b: Column, c: dict) -> list[Column]:
         text = collapsed(text) if c["spaces"] else text
         return text if c["case"] else folded(text)
 
-    texts = F.transform(units(b), lambda u: norm(u["text"]))
-    whole = norm(F.array_join(F.transform(units(b), lambda u: u["text"]), "\n\n"))
+    how, plain = repr({k: c[k] for k in ("case", "spaces", "quotes")}), facts.units(b)
+    texts = facts.add(1, F.transform(plain, lambda u: norm(u["text"])), f"texts {how}")
+    whole = facts.add(1, norm(F.array_join(F.transform(plain, lambda u: u["text"]), "\n\n")), f"whole {how}")
     there = lambda needle: F.exists(texts, lambda t: F.contains(t, needle)) | F.contains(whole, needle)
     return [there(norm(F.lit(item))) for item in c["items"]]
 
 
-def _preserve(b: Column, c: dict, doc: dict) -> Column:
-    kept = sum([F.when(k, 1).otherwise(0) for k in preserved(b, c)], F.lit(0))
+def _preserve(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
+    kept = facts.add(2, sum([F.when(k, 1).otherwise(0) for k in preserved(b, c, facts)], F.lit(0)))
     n = len(c["items"])
     ok = kept == n
     expected = F.lit(c["items"][0] if n == 1 else f"{n} protected items")
     return verdict(ok, expected, F.when(ok, "Found exactly as given").otherwise(F.concat(F.lit("changed or missing: "), (F.lit(n) - kept).cast("string"))), F.lit(n) - kept)
 
 
-def _spelling(b: Column, c: dict, doc: dict) -> Column:
+def _spelling(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
     """Quoted spans are blanked first: forms are letters only, so a form is inside a span exactly if it goes with it."""
     pattern = "(?i)" + lexicon.other_spellings(c["variant"])
     allowed = sorted({a.casefold() for a in c["allow"]})
-    hits = F.flatten(F.transform(units(b, c["scope"]), lambda u: F.regexp_extract_all(F.regexp_replace(flat(u["text"]), '"[^"\n]+"|“[^”\n]+”', '"'), F.lit(pattern), F.lit(0))))
+    hits = F.flatten(F.transform(facts.units(b, c["scope"]), lambda u: F.regexp_extract_all(F.regexp_replace(flat(u["text"]), '"[^"\n]+"|“[^”\n]+”', '"'), F.lit(pattern), F.lit(0))))
     hits = F.filter(hits, lambda h: ~F.lower(h).isin(allowed)) if allowed else hits
-    n = F.size(hits).cast("bigint")
+    n = facts.add(1, F.size(hits).cast("bigint"))
     other, name = ("American", "British") if c["variant"] == "british" else ("British", "American")
     actual = F.when(n == 0, f"0 {other} spellings found").otherwise(counted_col(n, f"{other} spelling"))
     return verdict(n == 0, f"{name} spelling throughout", actual, n, F.when(n == 0, 0.75).otherwise(1.0))
@@ -232,7 +260,7 @@ def extension(path: Column, file_type: Column) -> Column:
     return F.when(ext == "markdown", "md").when(ext == "text", "txt").when(ext == "", file_type).otherwise(ext)
 
 
-def _file_type(b: Column, c: dict, doc: dict) -> Column:
+def _file_type(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
     have = extension(doc["path"], doc["file_type"])
     want = " or ".join(f".{a}" for a in c["shown"])
     return verdict(have.isin(c["allowed"]) | doc["file_type"].isin(c["allowed"]), f"Type: {want}", F.concat(F.lit("."), have), F.lit(0))
@@ -246,7 +274,7 @@ def _off(want: float, tolerance: float) -> Callable[[Column], Column]:
     return lambda have: F.abs(have - want) > tolerance
 
 
-def _docx(b: Column, c: dict, doc: dict) -> Column:
+def _docx(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
     sides = ("top", "bottom", "left", "right")
     meta = F.from_json(doc["meta"], "sections array<struct<" + ",".join(f"margin_{s}_cm:double" for s in sides) + ",orientation:string>>, default_font_name string, default_font_size_pt double, default_line_spacing double")
     sections = F.coalesce(meta["sections"], F.array().cast("array<struct<margin_top_cm:double,margin_bottom_cm:double,margin_left_cm:double,margin_right_cm:double,orientation:string>>"))
@@ -276,13 +304,13 @@ _COMPILERS = {
 }
 
 
-def compile_rule(r: Requirement, doc: dict[str, Column], base_dir: str | None = None) -> Column | None:
-    """A VERDICT column over doc['blocks'], doc['path'], doc['file_type'] and doc['meta'], or None where Python is needed."""
+def compile_rule(r: Requirement, doc: dict[str, Column], facts: Facts, base_dir: str | None = None) -> Column | None:
+    """A VERDICT column over doc['blocks'], doc['path'], doc['file_type'], doc['meta'] and the facts, or None where Python is needed."""
     if r.verification_type != "deterministic":
         return F.struct(F.lit("UNVERIFIED").alias("status"), F.lit(None).alias("expected"), F.lit(untested(r)).alias("actual"), F.lit(0).alias("n"), F.lit(0.0).alias("confidence")).cast(VERDICT)
     if r.checker not in _COMPILERS:
         return None
-    out = _COMPILERS[r.checker](doc["blocks"], config(r.checker, r.parameters, base_dir), doc)
+    out = _COMPILERS[r.checker](doc["blocks"], config(r.checker, r.parameters, base_dir), doc, facts)
     if out is not None and r.severity == "info":
         out = out.withField("status", F.when(out["status"] == "FAIL", "WARNING").otherwise(out["status"]))
     return out
