@@ -26,7 +26,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from compliq.llm.common import LOWER, UPPER, bounded, materialize, table, text_of
 from compliq.llm.components import components
@@ -36,16 +35,19 @@ _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+def grams(text: bytes, shingle: int) -> list[bytes]:
     """``bytes.split`` cuts at exactly the ASCII white space of the contract."""
     words = text.translate(_ASCII_LOWER).split()
-    if not words:
-        return 0
     if len(words) <= shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = [b" ".join(x) for x in zip(*(words[i:] for i in range(shingle)), strict=False)]
-    h = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64, len(grams))
+        return [b" ".join(words)] if words else []
+    return [b" ".join(x) for x in zip(*(words[i:] for i in range(shingle)), strict=False)]
+
+
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    found = grams(text, shingle)
+    if not found:
+        return 0
+    h = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in found), np.uint64, len(found))
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), CHUNK):
         ones += np.unpackbits(h[i : i + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -136,27 +138,6 @@ def _labels(rows: DataFrame, radius: int, dense: int) -> DataFrame:
     return materialize(named.join(names, "component").select("fp", "component_id"))
 
 
-def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 6, dense: int = 4096) -> DataFrame:
-    """The rows of ``docs``, all columns, one of each component: that with the smallest id (rows that repeat it: any one of them)."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = [signed(fingerprint((x.as_py() or "").encode(), shingle)) for x in b.column(text_col)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], names=[*b.schema.names, "_sh_fp"])
-
-    rows = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
-    labels = _labels(rows, radius, dense)
-    wins = rows.join(labels, "fp").where(F.col("id").eqNullSafe(F.col("component_id")))
-    wins = materialize(wins.groupBy("fp", "id").agg(F.count(F.lit(1)).alias("n")).select(F.col("fp").alias("_sh_fp"), F.col("id").alias("_sh_id"), F.col("n").alias("_sh_n")))
-    marked = docs.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("_sh_fp", T.LongType())]))
-    kept = marked.join(wins, (marked["_sh_fp"] == wins["_sh_fp"]) & marked[id_col].eqNullSafe(wins["_sh_id"])).drop(wins["_sh_fp"])
-    if wins.where("_sh_n > 1").isEmpty():
-        return kept.select(*docs.columns)
-    # rows that repeat an id and a fingerprint: one of them
-    once = kept.where("_sh_n > 1").dropDuplicates(["_sh_fp", "_sh_id"])
-    return kept.where("_sh_n = 1").select(*docs.columns).union(once.select(*docs.columns))
-
-
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``: three-word shingles, linked at 2 or fewer differing bits."""
     out = simhash_components(table(spark, sf_dir, "documents"))
