@@ -112,6 +112,19 @@ def test_inconsistent_slots_do_not_count():
     assert same[1] == 1.0 and other[1] < same[1]
 
 
+def test_each_occurrence_has_its_own_slots():
+    item = "Tom has 3 apples , 5 pears and 7 plums in his bag today"
+    other = item.replace("3", "8").replace("5", "2").replace("7", "9")
+    index, words = decontaminate.Index([(1, item)], 5, 3), decontaminate.Words()
+    assert index.search(f"{item} {other}", words, 0.8) == [(1, 1.0, 10, False)]
+    assert index.search(f"{other} . {item} and so on . {other.replace('9', '4')}", words, 0.8) == [(1, 1.0, 10, False)]
+    apart = lambda x: x.replace(" and ", " and then quite a few more , ")
+    long = "We saw how " + item + " while all of them went home again by the old road to town"
+    index = decontaminate.Index([(1, long)], 5, 3)
+    both = f"{apart(long.replace('3', '8').replace('5', '2').replace('7', '9'))} . {apart(long)}"
+    assert [x[0] for x in index.search(both, words, 0.8)] == [1]
+
+
 def test_blocks_change_nothing(spark):
     docs, bench = common.table(spark, SF, "documents"), common.table(spark, SF, "benchmark")
     whole = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
