@@ -10,13 +10,14 @@ the mapping most windows support do not count. A document leaks an item if the w
 The benchmark is the build side of the join. It is cut in blocks of at most about ``block`` characters, each of which is broadcast and
 probed by all documents, so what is broadcast has a bound and nothing is shuffled; a larger benchmark takes more passes.
 
-Defined results: null texts count as empty and leak nothing; items shorter than a window are one window; items with no literal
-words (placeholders only) are skipped, since any slots would fit them; windows with fewer than ``literals`` literal words do not
-count; repeated rows are reported each; a null document or item id is reported as null; empty tables give an empty result; other columns are ignored.
+Defined results: null texts count as empty and leak nothing; items shorter than a window are one window; all windows of an item count;
+items with fewer than ``literals`` literal words (or fewer than a window holds) are found by their exact values only, since any slots would
+fit them; repeated rows are reported each; a null document or item id is reported as null; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -50,12 +51,12 @@ CODES = {t: _code(t) for t in (NUMBER, NAME, UNIT)}
 
 
 class Words(dict):
-    """Word -> (code, code if it is a name, placeholder or None, value), filled as words are met.
+    """Word -> (code, code if it is a name, placeholder or None, value, whether a sentence ends, code of the value), filled as words are met.
 
     A word with one capital at its start is a name, unless a sentence starts there; the text around decides.
     """
 
-    def __missing__(self, word: str) -> tuple[int, int, str | None, str, bool]:
+    def __missing__(self, word: str) -> tuple[int, int, str | None, str, bool, int]:
         core = EDGE.sub("", word)
         low = core.lower()
         if low in UNITS:
@@ -66,7 +67,7 @@ class Words(dict):
             kind = None
         code = CODES[kind] if kind else _code(low)
         named = kind is None and len(core) > 1 and core[0].isupper() and core[1:].islower()
-        out = (code, CODES[NAME] if named else code, kind, low, bool(ENDS.search(word)))
+        out = (code, CODES[NAME] if named else code, kind, low, bool(ENDS.search(word)), _code(low) if kind else code)
         if len(self) >= CACHE:
             self.clear()
         self[word] = out
@@ -74,9 +75,9 @@ class Words(dict):
 
 
 class Template:
-    """A text's codes, and for each token its placeholder (or None) and value."""
+    """A text's codes, and for each token its placeholder (or None), value and entry in the words."""
 
-    __slots__ = ("codes", "kinds", "values")
+    __slots__ = ("codes", "kinds", "values", "words")
 
     def __init__(self, text: str, words: Words):
         got = list(map(words.__getitem__, text.split()))
@@ -86,58 +87,83 @@ class Template:
         first = np.append(True, starts[:-1]) if n else starts
         self.codes = np.where(first, plain, named)
         self.kinds = [NAME if c != g[0] else g[2] for c, g in zip(self.codes.tolist(), got, strict=True)]
-        self.values = [g[3] for g in got]
+        self.values, self.words = [g[3] for g in got], got
 
-    def windows(self, size: int) -> np.ndarray:
-        m = len(self.codes) - size + 1
+    def windows(self, size: int, exact: bool = False) -> np.ndarray:
+        """Hashes of the windows, by their codes or by their values."""
+        codes = np.fromiter((g[5] for g in self.words), np.uint64, len(self.words)) if exact else self.codes
+        m = len(codes) - size + 1
         if m < 1:
             return np.zeros(0, np.uint64)
         h = np.zeros(m, np.uint64)
         for i in range(size):
-            h = h * np.uint64(_BASE) + self.codes[i : i + m]
+            h = h * np.uint64(_BASE) + codes[i : i + m]
             h ^= h >> np.uint64(29)
         return h
 
 
 class Index:
-    """The windows of a block of items, by size and hash: (item, position)."""
+    """Windows of a block of items, by size, kind (template or exact values) and hash: (item, position).
 
-    def __init__(self, items: list[tuple], window: int, literals: int):
+    Windows with fewer than ``literals`` literal words are common, so they are looked up only for items that others of their windows have
+    found. So many windows find an item, those with most literals first, that no occurrence with ``threshold`` of the windows has
+    none of them. An item that has too few literals as a whole is a matter of its exact values: any slots would fit it.
+    """
+
+    def __init__(self, items: list[tuple], window: int, literals: int, threshold: float = 0.8):
         words, self.items, self.sizes = Words(), [], {}
-        for item_id, text in items:
+        for number, (item_id, text) in enumerate(items):
             t = Template(text, words)
             size = min(window, len(t.codes))
-            need = min(literals, size)
-            use = [p for p in range(len(t.codes) - size + 1) if sum(k is None for k in t.kinds[p : p + size]) >= need] if size else []
-            if use:
-                hashes = t.windows(size).tolist()
-                places = self.sizes.setdefault(size, defaultdict(list))
-                for p in use:
+            if not size:
+                continue
+            n, need = len(t.codes) - size + 1, min(literals, size)
+            count = [sum(k is None for k in t.kinds[p : p + size]) for p in range(n)]
+            # a first word with a capital may count as a name elsewhere, which a short item cannot spare
+            ways = [True] if sum(k is None for k in t.kinds) < need else [False, True] if n - 1 < threshold * n else [False]
+            for exact in ways:
+                finders = n if exact else max(sum(c >= need for c in count), min(n, n - math.ceil(threshold * n) + 1))
+                order = sorted(range(n), key=lambda p: (-count[p], p))  # noqa: B023
+                hashes, rest = t.windows(size, exact).tolist(), defaultdict(list)
+                places = self.sizes.setdefault((size, exact), defaultdict(list))
+                for p in sorted(order[:finders]):
                     places[hashes[p]].append((len(self.items), p))
-                self.items.append((item_id, t.kinds, t.values, len(use), size))
+                for p in sorted(order[finders:]):
+                    rest[hashes[p]].append(p)
+                self.items.append((number, item_id, t.kinds, t.values, n, size, exact, (np.array(sorted(rest), np.uint64), dict(rest), n - finders)))
         self.sizes = {k: (np.array(sorted(v), np.uint64), dict(v)) for k, v in self.sizes.items()}
 
     def search(self, text: str, words: Words, threshold: float) -> list[tuple]:
         """(item id, share of its windows that count, windows that count, whether any slot differs)."""
-        hits = defaultdict(list)
+        hits, made = defaultdict(list), {}
         t = Template(text, words)
-        for size, (sorted_hashes, places) in self.sizes.items():
-            h = t.windows(size)
-            at = np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)
-            for d in np.flatnonzero(sorted_hashes[at] == h).tolist():
+        for kind, (sorted_hashes, places) in self.sizes.items():
+            h = made[kind] = t.windows(*kind)
+            for d in _places(h, sorted_hashes):
                 for item, p in places[int(h[d])]:
                     hits[item].append((d, p))
-        out = []
+        out = {}
         for item, pairs in hits.items():
-            item_id, kinds, values, n, size = self.items[item]
-            best = None
+            number, item_id, kinds, values, n, size, exact, (rest_hashes, rest, n_rest) = self.items[item]
+            if len({p for _, p in pairs}) + n_rest < threshold * n:
+                continue
+            if n_rest:
+                h = made[size, exact]
+                pairs = sorted(pairs + [(d, p) for d in _places(h, rest_hashes) for p in rest[int(h[d])]])
+            best = out.get(number, (None, None))[1]
             for group in _occurrences(pairs, threshold * n):
                 good, changed = _judge(group, kinds, values, t.values, size)
                 if good >= threshold * n and (best is None or (good, not changed) > (best[0], not best[1])):
                     best = good, changed
             if best:
-                out.append((item_id, best[0] / n, *best))
-        return out
+                out[number] = (item_id, best, n)
+        return [(item_id, best[0] / n, *best) for item_id, best, n in out.values()]
+
+
+def _places(h: np.ndarray, sorted_hashes: np.ndarray) -> list[int]:
+    """Where ``h`` has one of the hashes."""
+    at = np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)
+    return np.flatnonzero(sorted_hashes[at] == h).tolist()
 
 
 def _occurrences(pairs: list[tuple[int, int]], least: float) -> Iterator[list[tuple[int, int]]]:
@@ -209,7 +235,7 @@ def leaks(
 
     out = None
     for part in _blocks(items, block):
-        found = probe(spark.sparkContext.broadcast(Index(part, window, literals)))
+        found = probe(spark.sparkContext.broadcast(Index(part, window, literals, threshold)))
         out = found if out is None else out.union(found)
     out = spark.createDataFrame([], shape) if out is None else out
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "share", "windows", "changed")
@@ -228,7 +254,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
         return run
 
     for part in _blocks(items, block):
-        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(Index(part, window, literals))), docs.schema)
+        docs = docs.mapInArrow(keep(docs.sparkSession.sparkContext.broadcast(Index(part, window, literals, threshold))), docs.schema)
     return docs
 
 

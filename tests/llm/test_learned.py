@@ -112,6 +112,21 @@ def test_inconsistent_slots_do_not_count():
     assert same[1] == 1.0 and other[1] < same[1]
 
 
+def test_items_of_few_literals_are_found():
+    items = ["Divide 12 km by 3 h", "Convert 12 km to m", "What is 15 % of 80 ?", "7 8 9 10 11 12", "12 km", "Add 1 2 3 4 5 6 7 8 9 to the sum of Anna Miller and 4 5 6 7 8 9"]
+    index, words = decontaminate.Index(list(enumerate(items)), 5, 3), decontaminate.Words()
+    found = lambda text: {x[0]: x[3] for x in index.search(text, words, 0.8)}
+    for k, x in enumerate(items):
+        assert found(f"So then : {x} and so on")[k] is False
+        assert found(f"So then {x} and so on")[k] is False
+    assert found("What is 20 % of the budget for the year") == {}
+    assert found("What is 25 % of 90 ?") == {2: True}
+    assert found("Convert 15 miles to ft or divide 4 km by 2 h") == {}
+    assert found(items[5].translate(str.maketrans("123456789", "234567891"))) == {5: True}
+    assert found("So put " + items[5][4:]) == {5: False}
+    assert found("9 2 3 4 5 6 7 8 1 to the sum of Anna Miller") == {}
+
+
 def test_each_occurrence_has_its_own_slots():
     item = "Tom has 3 apples , 5 pears and 7 plums in his bag today"
     other = item.replace("3", "8").replace("5", "2").replace("7", "9")
