@@ -316,6 +316,34 @@ def q_section_order(spark, sf):
     return audit.audit(_word_headings(spark, sf), one_rule("required_section", headings=["Th", "E"], exact=False, ordered=True)).select("doc_id", "status")
 
 
+# The SQL of the queries above compares first lines and first words; these take all lines and whole headings, which has no SQL.
+
+
+@query()
+def q_heading_key_lines(spark, sf):
+    """The key of every line of every document as a heading."""
+    lines = read(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "text"))
+    return lines.select("doc_id", "line", heading_key_col(F.concat(F.lit("## "), (F.col("doc_id") % 4).cast("string"), F.lit(".1 "), "text", F.lit(":"))).alias("key"))
+
+
+def _whole_headings(spark, sf) -> DataFrame:
+    """Documents whose headings are the derived headings, whole, as Markdown; ASCII marks are escaped, so that they stay text."""
+    h = blocks_of(spark, sf).where((F.col("kind") == "heading") & (F.trim("text") != ""))
+    line = F.concat(F.lit("# "), F.regexp_replace("text", r"([!-/:-@\[-`{-~])", r"\\$1"))
+    lines = h.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("w")))).alias("x"))
+    return documents.from_text(lines.select("doc_id", F.array_join(F.transform("x", lambda x: x["w"]), "\n\n").alias("text")), "md")
+
+
+@query()
+def q_required_section_lines(spark, sf):
+    return audit.audit(_whole_headings(spark, sf), one_rule("required_section", headings=["Th"], exact=False)).select("doc_id", "status")
+
+
+@query()
+def q_section_order_lines(spark, sf):
+    return audit.audit(_whole_headings(spark, sf), one_rule("required_section", headings=["Th", "Es"], exact=False, ordered=True)).select("doc_id", "status")
+
+
 # -- preservation, spelling, files ----------------------------------------------------------------
 
 
@@ -512,6 +540,44 @@ def q_placeholder_scan(spark, sf):
     return instructions.markers(p).select(F.col("path").alias("page_id"), "n")
 
 
+# The SQL of the queries above and below compares first words; these take all lines whole, which has no SQL.
+
+
+def _turn_lines(spark, sf) -> DataFrame:
+    c = read(spark, sf, "conversations")
+    lines = c.select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "text"))
+    return lines.where(F.trim("text") != "")
+
+
+def _line_directives(spark, sf) -> DataFrame:
+    """Every line of every turn as a directive; at the end of the conversation (``again``) one line of three is repeated and one reversed."""
+    said = _turn_lines(spark, sf).withColumn("again", F.lit(0))
+    again = said.where("line % 3 < 2").withColumn("again", F.lit(1))
+    start = F.when(F.col("again") == 0, "Always ").when(F.col("line") % 3 == 0, "* Always ").otherwise("- never ")
+    return said.union(again).withColumn("norm", instructions.normal(F.concat(start, "text")))
+
+
+@query()
+def q_context_duplicate_lines(spark, sf):
+    """Whole lines whose normal form came before, over all conversations."""
+    return instructions.duplicates(_line_directives(spark, sf), ["conv_id", "again", "turn", "line"]).select("norm", "conv_id", "again", "turn", "line")
+
+
+@query()
+def q_context_contradiction_lines(spark, sf):
+    return instructions.contradictions(_line_directives(spark, sf), ["again", "turn", "line"], ["conv_id"]).select("conv_id", "again", "turn", "line", "action")
+
+
+@query()
+def q_text_heading_lines(spark, sf):
+    """Headings that whole turns imply, all lines kept, each a paragraph of its own."""
+    line = F.when(F.col("line") % 3 == 0, F.upper("text")).when(F.col("line") % 3 == 1, F.concat(F.lit("2.1 "), "text")).otherwise(F.col("text"))
+    turns = _turn_lines(spark, sf).groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(F.struct("line", line.alias("text")))).alias("x"))
+    text = F.array_join(F.transform("x", lambda x: x["text"]), "\n\n")
+    docs = turns.select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), text.alias("text"))
+    return documents.from_text(docs, "txt").select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.position", "b.kind", "b.level", "b.candidate", "b.text")
+
+
 # -- text headings, briefs, explanations ----------------------------------------------------------
 
 _LINE = "CASE turn % 3 WHEN 0 THEN upper(w) WHEN 1 THEN '2.1 ' || w ELSE lower(w) END"
