@@ -84,10 +84,11 @@ def run_audit(a) -> int:
 
 
 def run_corpus(a) -> int:
-    """Audits all documents under a folder; results as Parquet."""
-    docs = from_files(spark(), a.folder)
+    """Audits all documents under a folder; results as Parquet, and beside them (``.errors``) the files that could not be read."""
+    docs, mode = from_files(spark(), a.folder, unknown=True), "overwrite" if a.force else "errorifexists"
     out = audit.audit(docs.where("error is null"), a.spec)
-    out.write.mode("overwrite" if a.force else "errorifexists").parquet(a.output)
+    out.write.mode(mode).parquet(a.output)
+    docs.where("error is not null").select("doc_id", "size_bytes", "error").write.mode(mode).parquet(a.output.rstrip("/") + ".errors")
     return OK
 
 

@@ -13,12 +13,13 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from compliq.functions.text import heading_key
 from compliq.sources import docx, lines
 
 TYPES = {"txt": "txt", "text": "txt", "md": "md", "markdown": "md", "docx": "docx"}
-MAX_BYTES = 25_000_000
+MAX_BYTES = 25 * 1024 * 1024
 NO_END = 1_000_000_000
 BLOCK = (
     "struct<position:int,para:int,kind:string,text:string,line:int,level:int,marker:string,style:string,candidate:boolean,"
@@ -151,11 +152,20 @@ def from_text(docs: DataFrame, file_type: str = "txt", id_col: str = "doc_id", t
     return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _COLUMNS)
 
 
-def from_files(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed documents from files; type and size are tested before the content is read, failures are rows with ``error``."""
+def from_files(spark: SparkSession, path: str, unknown: bool = False) -> DataFrame:
+    """Parsed documents from files; type and size are tested before the content is read, failures are rows with ``error``.
+
+    Files of unknown type are such rows only if ``unknown`` is set; else they are no documents and have no row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    known = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(supported()) & (F.col("length") <= MAX_BYTES)
-    files = files.where(known).select("path", "content")
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    known, small = ext.isin(supported()), F.col("length") <= MAX_BYTES
+    names = ", ".join("." + t for t in supported())
+    error = F.when(~known, F.concat(F.lit("unsupported file type '."), ext, F.lit(f"' (supported: {names})"))).otherwise(f"the file is larger than {MAX_BYTES} bytes")
+    refused = {"doc_id": F.col("path"), "path": F.col("path"), "size_bytes": F.col("length"), "error": error}
+    shape = T._parse_datatype_string(_COLUMNS)
+    refused = files.where(~(known & small) if unknown else known & ~small).select(*[refused.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
+    files = files.where(known & small).select("path", "content")
 
     own = dict(EXTRACTORS)
 
@@ -172,7 +182,7 @@ def from_files(spark: SparkSession, path: str) -> DataFrame:
                     out.append({"doc_id": name, "path": name, "error": str(e)})
             yield _batch(out)
 
-    return files.mapInArrow(run, _COLUMNS)
+    return files.mapInArrow(run, _COLUMNS).unionByName(refused)
 
 
 def one_paragraph(text: Column) -> Column:

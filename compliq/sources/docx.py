@@ -9,7 +9,7 @@ from typing import Any
 from xml.etree import ElementTree
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-MAX_MEMBERS, MAX_EXPANDED = 5000, 250_000_000
+MAX_MEMBERS, MAX_EXPANDED = 5000, 250 * 1024 * 1024
 _HEADING = re.compile(r"heading ?(\d)$", re.I)
 
 

@@ -93,3 +93,29 @@ def test_service(place):
 def test_corpus_command(spark, place, tmp_path):
     assert run("corpus", place, "-s", place / "spec.yml", "-o", tmp_path / "out") == 0
     assert spark.read.parquet(str(tmp_path / "out")).count() == 4 * 3
+
+
+def test_refused_files_are_rows_with_an_error(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from compliq import cli
+    from compliq.sources import documents
+    from tests.helpers import spec
+
+    limit, folder = 25 * 1024 * 1024, tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.txt").write_text("one two")
+    (folder / "b.xyz").write_text("what")
+    (folder / "noext").write_text("what")
+    (folder / "c.md").write_bytes(b"a " * (limit // 2) + b"a")
+    (folder / "d.md").write_bytes(b"a" * 25_000_001)
+    name = lambda r: r.doc_id.rsplit("/", 1)[1]
+    got = {name(r): (r.error, r.size_bytes) for r in documents.from_files(spark, str(folder), unknown=True).select("doc_id", "error", "size_bytes").collect()}
+    assert got["a.txt"][0] is None and got["d.md"] == (None, 25_000_001) and len(got) == 5
+    assert "unsupported file type '.xyz'" in got["b.xyz"][0] and "unsupported" in got["noext"][0]
+    assert got["c.md"] == (f"the file is larger than {limit} bytes", limit + 1)
+    assert {name(r) for r in documents.from_files(spark, str(folder)).select("doc_id").collect()} == {"a.txt", "c.md", "d.md"}
+    out = str(tmp_path / "out.parquet")
+    assert cli.run_corpus(SimpleNamespace(folder=str(folder), spec=spec(("word_count", {"min": 2})), output=out, force=False)) == cli.OK
+    assert {name(r): r.status for r in spark.read.parquet(out).collect()} == {"a.txt": "PASS", "d.md": "FAIL"}
+    assert {name(r): r.error for r in spark.read.parquet(out + ".errors").collect()} == {k: e for k, (e, _) in got.items() if e}
