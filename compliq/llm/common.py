@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +91,25 @@ def running_before(df: DataFrame, part: list[str], bin_col: str, order: list[Col
     joined = valued.join(offsets, [*part, bin_col])
     before = F.coalesce(F.sum("_rb_value").over(within), F.lit(0)) + F.col("_rb_offset")
     return joined.withColumn(out, before).drop("_rb_value", "_rb_offset")
+
+
+def slices(texts: list[str | bytes], rows: int = 256, length: int = 1 << 20) -> Iterator[tuple[int, list]]:
+    """(position of the first, texts): runs of at most ``rows`` texts and about ``length`` characters, so that few objects are made at a time."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        if k > at and (k - at == rows or size + len(t) > length):
+            yield at, texts[at:k]
+            at, size = k, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, texts[at:]
+
+
+def bits_of(hashes: DataFrame, col: str, bits: int) -> np.ndarray:
+    """One bit for each value of the first ``bits`` bits of a long, set where a row has it, in longs of 64: of fixed size, built by an aggregate."""
+    at = F.shiftrightunsigned(col, 64 - bits)
+    rows = hashes.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({col}, {64 - bits}) & 63 as int))").alias("bit"))
+    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most 2^(bits - 6) rows
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out

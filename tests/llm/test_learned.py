@@ -1,4 +1,7 @@
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -106,16 +109,16 @@ def test_leaks_with_other_slots_are_found_if_consistent(spark, benchmark):
 def test_inconsistent_slots_do_not_count():
     item = "Anna gave Anna 5 old books and Anna gave Bob 5 new books while Anna read 5 more books to Bob and to Anna"
     mixed = item.replace("Anna read", "Carl read").replace("gave Anna", "gave Dora").replace("to Anna", "to Emil")
-    index, words = decontaminate.Index([(1, item)], 5, 2), decontaminate.Words()
-    same = index.search(item, words, 0.0)[0]
-    other = index.search(mixed, words, 0.0)[0]
+    index = decontaminate.Index([(1, item)], 5, 2, 0.0)
+    same = index.search(item, 0.0)[0]
+    other = index.search(mixed, 0.0)[0]
     assert same[1] == 1.0 and other[1] < same[1]
 
 
 def test_items_of_few_literals_are_found():
     items = ["Divide 12 km by 3 h", "Convert 12 km to m", "What is 15 % of 80 ?", "7 8 9 10 11 12", "12 km", "Add 1 2 3 4 5 6 7 8 9 to the sum of Anna Miller and 4 5 6 7 8 9"]
-    index, words = decontaminate.Index(list(enumerate(items)), 5, 3), decontaminate.Words()
-    found = lambda text: {x[0]: x[3] for x in index.search(text, words, 0.8)}
+    index = decontaminate.Index(list(enumerate(items)), 5, 3)
+    found = lambda text: {x[0]: x[3] for x in index.search(text, 0.8)}
     for k, x in enumerate(items):
         assert found(f"So then : {x} and so on")[k] is False
         assert found(f"So then {x} and so on")[k] is False
@@ -130,17 +133,17 @@ def test_items_of_few_literals_are_found():
 def test_each_occurrence_has_its_own_slots():
     item = "Tom has 3 apples , 5 pears and 7 plums in his bag today"
     other = item.replace("3", "8").replace("5", "2").replace("7", "9")
-    index, words = decontaminate.Index([(1, item)], 5, 3), decontaminate.Words()
-    assert index.search(f"{item} {other}", words, 0.8) == [(1, 1.0, 10, False)]
-    assert index.search(f"{other} . {item} and so on . {other.replace('9', '4')}", words, 0.8) == [(1, 1.0, 10, False)]
+    index = decontaminate.Index([(1, item)], 5, 3)
+    assert index.search(f"{item} {other}", 0.8) == [(1, 1.0, 10, False)]
+    assert index.search(f"{other} . {item} and so on . {other.replace('9', '4')}", 0.8) == [(1, 1.0, 10, False)]
     apart = lambda x: x.replace(" and ", " and then quite a few more , ")
     long = "We saw how " + item + " while all of them went home again by the old road to town"
     index = decontaminate.Index([(1, long)], 5, 3)
     both = f"{apart(long.replace('3', '8').replace('5', '2').replace('7', '9'))} . {apart(long)}"
-    assert [x[0] for x in index.search(both, words, 0.8)] == [1]
+    assert [x[0] for x in index.search(both, 0.8)] == [1]
 
 
-def test_blocks_change_nothing(spark):
+def test_a_shuffle_join_finds_the_same(spark):
     docs, bench = common.table(spark, SF, "documents"), common.table(spark, SF, "benchmark")
     whole = sorted(map(tuple, decontaminate.leaks(docs, bench).collect()))
     parts = sorted(map(tuple, decontaminate.leaks(docs, bench, block=3000).collect()))
@@ -148,8 +151,92 @@ def test_blocks_change_nothing(spark):
     texts = [(r.doc_id, r.text or "") for r in docs.collect()]
     items = [(r.item_id, r.text) for r in bench.collect()]
     assert {(d, i) for d, t in texts for i, x in items if x in t} <= {(r[0], r[1]) for r in whole}
+    kept = {r.doc_id for r in decontaminate.drop_leaks(docs, bench, block=3000).collect()}
+    assert kept == {r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()} == {d for d, _ in texts} - {r[0] for r in whole}
     assert decontaminate.leaks(docs, bench.where("false")).count() == 0
-    assert decontaminate.leaks(empty(spark), bench).count() == 0
+    assert decontaminate.leaks(empty(spark), bench).count() == 0 == decontaminate.leaks(empty(spark), bench, block=10).count()
+
+
+def template(text):
+    """Tokens (placeholder or word, value) by plain rules, one word at a time."""
+    out, first = [], True
+    for w in text.split():
+        core = re.sub(r"^[^\w%$€£+-]+|[^\w%]+$", "", w)
+        low = core.lower()
+        if low in decontaminate.UNITS:
+            kind = "unit"
+        elif decontaminate.DIGITS.fullmatch(core) or low in decontaminate.NUMBER_WORDS:
+            kind = "number"
+        else:
+            kind = "name" if not first and len(core) > 1 and core[0].isupper() and core[1:].islower() else None
+        out.append((kind, low))
+        first = bool(re.search(r"[.!?:][\"')\]]*$", w))
+    return out
+
+
+def leaks_by_hand(doc, item, window=5, literals=3, threshold=0.8):
+    """Whether some place of the document agrees with the item, window by window, under one mapping of slots."""
+    d, t = template(doc), template(item)
+    size = min(window, len(t))
+    n = len(t) - size + 1
+    few = sum(k is None for k, _ in t) < min(literals, size)
+    for at in range(-len(t) + 1, len(d)):
+        same = lambda i: 0 <= at + i < len(d) and (d[at + i] == t[i] if few or t[i][0] is None else d[at + i][0] == t[i][0])  # noqa: B023, E731
+        matched = [p for p in range(n) if all(same(p + i) for i in range(size))]
+        if len(matched) < threshold * n:
+            continue
+        pairs = {p: {(t[p + i], d[at + p + i]) for i in range(size) if t[p + i][0]} for p in matched}
+        votes = Counter(x for s in pairs.values() for x in s)
+        one, other = {}, {}
+        for (a, b), _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+            if a not in one and b not in other:
+                one[a], other[b] = b, a
+        if sum(all(one.get(a) == b for a, b in s) for s in pairs.values()) >= threshold * n:
+            return True
+    return False
+
+
+def test_windows_and_slots_agree_with_brute_force(spark):
+    rng = random.Random(4)
+    frames = ["{a} bought {x} {u} of old red apples and {y} {u} of pears while {b} sold {x} boxes to {a} and left", "How many {u} does {a} walk if the road is {x} {u} long and {b} walks {y} more ?", "Add {x} to {y} and then take {z} away from the sum before {a} counts it again with {b}"]
+    fill = lambda f: f.format(a=rng.choice(["Anna", "Bob", "Cleo"]), b=rng.choice(["Dora", "Emil", "Fritz"]), x=rng.randint(2, 9), y=rng.randint(10, 19), z=rng.randint(20, 29), u=rng.choice(["km", "kg", "miles"]))
+
+    def spoil(text):
+        words = text.split()
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            i = rng.randrange(len(words))
+            words[i] = rng.choice(["so", str(rng.randint(2, 9)), "Gustav", "km", words[i]])
+        return " ".join(words)
+
+    items = [fill(f) for f in frames * 3]
+    texts = [" ".join(["we saw this ."] * rng.randrange(3) + [spoil(fill(rng.choice(frames)))] + ["and so on ."] * rng.randrange(3)) for _ in range(150)]
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if leaks_by_hand(t, x)}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for block in (4_000_000, 10):
+        got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, list(enumerate(texts))), bench, block=block).collect()}
+        assert got == want and len(texts) < len(want) < len(texts) * len(items)
+
+
+def test_words_agree_with_plain_rules():
+    texts = ["", "  ", "Anna's (old) \"House.\" 3,5% of $12.50!) — km/h ÄRGER İstanbul ǅ a...", "...", "+5 -x- _y_ McAdam ABC 1st 2nd. end.'", "x" * 3_000_00 + " tail Word", "\u2003wide\u00a0blank\x1f x"]
+    got = decontaminate.Texts(texts)
+    kinds = {0: None, int(decontaminate.fixed().number): "number", int(decontaminate.fixed().name): "name", int(decontaminate.fixed().unit): "unit"}
+    for k, text in enumerate(texts):
+        here = range(got.begin[k], got.end[k])
+        assert [(kinds[int(got.kinds[i])], got.value(i)) for i in here] == template(text)
+    many = " ".join(f"Word{i % 97}. so" for i in range(200_000))  # more than one piece
+    t = decontaminate.Texts([many, "Word5"])
+    assert t.end.tolist() == [400_000, 400_001] and len(set(t.hash.tolist())) == 98 and t.hash[10] == t.hash[-1]
+
+
+def test_ids_of_any_type(spark):
+    docs = documents(spark, [(1, f"so {ITEM} ."), (2, "nothing")])
+    for kind in ("double", "string", "decimal(5,1)", "date", "array<int>"):
+        value = {"date": "date '2020-01-01'", "array<int>": "array(1, 2)"}.get(kind, f"cast(7 as {kind})")
+        bench = spark.sql(f"select {value} as item_id, '{ITEM}' as text")
+        for block in (4_000_000, 10):
+            (row,) = decontaminate.leaks(docs, bench, block=block).collect()
+            assert row.doc_id == 1 and row.item_id == bench.first().item_id
 
 
 def test_pipeline(spark, sf):
