@@ -364,15 +364,10 @@ _INJECT = "text || CASE doc_id % 4 WHEN 0 THEN ' The colour of the center was \"
 
 
 def _spelling_sql(variant: str) -> str:
-    side = 0 if variant == "british" else 1
-    pairs = lambda t: [p.split()[side] for p in t.replace("\n", " ").split(",")]
-    stems = "|".join(pairs(lexicon.SPELLING_STEMS))
-    forms = f"(?:{stems})(?:{'|'.join(lexicon.SUFFIXES.split())})?|" + "|".join(pairs(lexicon.SPELLING_WORDS))
-    if variant == "american":
-        forms += f"|(?:{'|'.join(lexicon.ISE_STEMS.split())})is(?:{'|'.join(lexicon.ISE_ENDINGS.split())})"
+    words = ", ".join(f"'{w}'" for w in lexicon.other_words(variant))
     return f"""
     SELECT doc_id, CASE WHEN n = 0 THEN 'PASS' ELSE 'FAIL' END AS status, n FROM (SELECT doc_id,
-      len(list_filter(regexp_extract_all(lower(regexp_replace(replace(t, chr(10), ' '), '"[^"]+"|“[^”]+”', '"', 'g')), '[a-z]+'), lambda w: regexp_full_match(w, '{forms}'))) AS n
+      len(list_filter(regexp_extract_all(lower(regexp_replace(replace(t, chr(10), ' '), '"[^"]+"|“[^”]+”', '"', 'g')), '[a-z]+'), lambda w: w IN ({words}))) AS n
       FROM (SELECT doc_id, {_INJECT} AS t FROM documents))"""
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Files whose change calls for a review of dependencies. Fixed values.
-DEPENDENCY_FILES = (
-    "pyproject.toml requirements.txt requirements-dev.txt poetry.lock uv.lock package.json package-lock.json yarn.lock pnpm-lock.yaml cargo.toml cargo.lock go.mod go.sum"
-).split()
+DEPENDENCY_FILES = [
+    "pyproject.toml", "requirements.txt", "requirements-dev.txt", "poetry.lock", "uv.lock", "package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "cargo.toml", "cargo.lock", "go.mod", "go.sum",
+]
 
 
 class PatternError(ValueError):

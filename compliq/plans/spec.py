@@ -194,7 +194,7 @@ def mark(name: str) -> list[str]:
     key = re.sub("[- ]", "_", name.strip().lower())
     for k in (key, key.removesuffix("s"), key.removesuffix("es")):
         if k in lexicon.MARKS:
-            return lexicon.MARKS[k].split()
+            return list(lexicon.MARKS[k])
     literal = name.strip()
     if 0 < len(literal) <= 3 and not literal.isalpha():
         return [literal]
