@@ -32,8 +32,17 @@ def _row_doc(names: list[str], batch: pa.RecordBatch, i: int) -> dict[str, Any]:
     return row | {"meta": json.loads(row["meta"] or "{}"), "blocks": row["blocks"] or []}
 
 
+def _check(d: dict[str, Any], r: Requirement, base_dir, registry, verifier) -> detail.Verdict:
+    if d.get("error") is not None:
+        return detail.Verdict("ERROR", f"The document could not be read: {d['error']}", actual=d["error"], confidence=0.0, checker=r.checker, requirement_id=r.id)
+    return detail.check(d, r, base_dir, registry, verifier)
+
+
 def verdicts(docs: DataFrame, spec: Specification, registry: dict | None = None, verifier: Any = None) -> DataFrame:
-    """``docs`` with ``results``: one RESULT per enabled requirement, in the specification's order."""
+    """``docs`` with ``results``: one RESULT per enabled requirement, in the specification's order.
+
+    Where ``docs`` has ``error`` and it is not null, the document could not be read, and every requirement is an ERROR that says so.
+    """
     doc = {k: F.col(k) for k in ("blocks", "path", "file_type", "meta")}
     facts, made, rest, columns = native.Facts(), {}, [], docs.columns
     for i, r in enumerate(spec.enabled):
@@ -51,10 +60,17 @@ def verdicts(docs: DataFrame, spec: Specification, registry: dict | None = None,
     for i, r in enumerate(spec.enabled):
         fixed = {"ord": F.lit(i), "requirement_id": F.lit(r.id), "checker": F.lit(r.checker), "severity": F.lit(r.severity), "kind": F.lit(r.verification_type), "weight": F.lit(float(r.effective_weight))}
         v = F.col(f"_verdict{i}")
+        if "error" in columns:
+            v = F.when(F.col("error").isNotNull(), unread(F.col("error"))).otherwise(v)
         results.append(F.struct(*[c.alias(k) for k, c in fixed.items()], *[v[k].alias(k) for k in ("status", "expected", "actual", "n", "confidence")]).cast(RESULT))
     return docs.select(*columns, (F.array(*results) if results else F.array().cast(f"array<{RESULT}>")).alias("results"))
 
 
+def unread(error: Column) -> Column:
+    """The verdict on a document that could not be read."""
+    return F.struct(F.lit("ERROR").alias("status"), F.lit(None).alias("expected"), error.alias("actual"), F.lit(0).alias("n"), F.lit(0.0).alias("confidence")).cast(native.VERDICT)
+
+
 def _slow(docs: DataFrame, rest: list[tuple[int, Requirement]], base_dir, registry, verifier) -> DataFrame:
     names = docs.columns
     kind = pa.list_(pa.struct([("status", pa.string()), ("expected", pa.string()), ("actual", pa.string()), ("n", pa.int64()), ("confidence", pa.float64())]))
@@ -64,7 +80,7 @@ def _slow(docs: DataFrame, rest: list[tuple[int, Requirement]], base_dir, regist
             out = []
             for i in range(b.num_rows):
                 d = _row_doc(names, b, i)
-                vs = [detail.check(d, r, base_dir, registry, verifier) for _, r in rest]
+                vs = [_check(d, r, base_dir, registry, verifier) for _, r in rest]
                 out.append([{"status": v.status, "expected": v.expected, "actual": v.actual, "n": next((x for x in v.details.values() if isinstance(x, int)), 0), "confidence": v.confidence} for v in vs])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, kind)], names=[*names, "_slow"])
 
@@ -88,7 +104,8 @@ def audit_in_detail(docs: DataFrame, spec: Any, registry: dict | None = None, ve
     """As ``audit``, with messages, evidence, places, hints and details; all in Arrow batches."""
     spec = load(spec, registry=registry)
     base_dir, plans = spec.base_dir, list(enumerate(spec.enabled))
-    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "path", "file_type", "raw_text", "blocks", "meta")
+    error = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "path", "file_type", "raw_text", "blocks", "meta", error.alias("error"))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +114,7 @@ def audit_in_detail(docs: DataFrame, spec: Any, registry: dict | None = None, ve
             for i in range(b.num_rows):
                 d = _row_doc(names, b, i)
                 for k, r in plans:
-                    v = asdict(detail.check(d, r, base_dir, registry, verifier))
+                    v = asdict(_check(d, r, base_dir, registry, verifier))
                     rows.append(v | {"doc_id": d["doc_id"], "ord": k, "details": json.dumps(v["details"], ensure_ascii=False)})
             kinds = [("doc_id", pa.string()), ("ord", pa.int32()), *((k, pa.string()) for k in ("requirement_id", "checker", "status", "message", "expected", "actual")), ("evidence", pa.list_(pa.string())), ("locations", _PLACES), ("confidence", pa.float64()), ("hint", pa.string()), ("details", pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in kinds], names=[k for k, _ in kinds])
@@ -169,13 +186,15 @@ def scores(docs: DataFrame, spec: Any, registry: dict | None = None) -> DataFram
 
 
 def document_info(docs: DataFrame) -> DataFrame:
-    """One row per document: words, paragraphs, headings, tables, and notices."""
+    """One row per document: words, paragraphs, headings, tables, and notices; of what could not be read only a notice."""
     b = F.col("blocks")
     words = native.total(native.units(b), lambda u: native.word_count(u["text"]))
     counts = {"word_count": words, "paragraphs": F.size(F.filter(b, lambda x: x["para"].isNotNull())), "headings": native.element_counts(b, "headings"), "tables": native.element_counts(b, "tables")}
-    empty = F.when(~F.coalesce(F.col("raw_text"), F.lit("")).rlike(r"(?U)\S"), "The document contains no text; rules that look for content will fail.")
+    failed = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
+    counts = {k: F.when(failed.isNull(), c) for k, c in counts.items()}
+    empty = F.when(failed.isNull() & ~F.coalesce(F.col("raw_text"), F.lit("")).rlike(r"(?U)\S"), "The document contains no text; rules that look for content will fail.")
     legacy = F.when(F.get_json_object("meta", "$.encoding") == "cp1252", "The file is not valid UTF-8; it was read as Windows-1252.")
-    return docs.select("doc_id", "path", "file_type", "size_bytes", *[c.cast("bigint").alias(k) for k, c in counts.items()], F.array_compact(F.array(empty, legacy)).alias("notices"))
+    return docs.select("doc_id", "path", "file_type", "size_bytes", *[c.cast("bigint").alias(k) for k, c in counts.items()], F.array_compact(F.array(empty, legacy, F.concat(F.lit("The file could not be read: "), failed))).alias("notices"))
 
 
 # -- one document on the driver -------------------------------------------------------------------

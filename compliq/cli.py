@@ -84,11 +84,9 @@ def run_audit(a) -> int:
 
 
 def run_corpus(a) -> int:
-    """Audits all documents under a folder; results as Parquet, and beside them (``.errors``) the files that could not be read."""
-    docs, mode = from_files(spark(), a.folder, unknown=True), "overwrite" if a.force else "errorifexists"
-    out = audit.audit(docs.where("error is null"), a.spec)
-    out.write.mode(mode).parquet(a.output)
-    docs.where("error is not null").select("doc_id", "size_bytes", "error").write.mode(mode).parquet(a.output.rstrip("/") + ".errors")
+    """Audits all files under a folder; results as Parquet. A file that cannot be read is an ERROR for every requirement."""
+    docs, mode = from_files(spark(), a.folder), "overwrite" if a.force else "errorifexists"
+    audit.audit(docs, a.spec).write.mode(mode).parquet(a.output)
     return OK
 
 
@@ -162,7 +160,8 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("folder")
     c.add_argument("--spec", "-s", required=True)
     command("rules", run_rules, output=False)
-    command("serve", run_serve, output=False).add_argument("--root", action="append", default=[])
+    for name in ("mcp", "serve"):
+        command(name, run_serve, output=False).add_argument("--root", action="append", default=[])
     done = sub.add_parser("done").add_subparsers(required=True)
     scope = sub.add_parser("scope").add_subparsers(required=True)
     c = command("check", run_done_check, done)

@@ -152,19 +152,21 @@ def from_text(docs: DataFrame, file_type: str = "txt", id_col: str = "doc_id", t
     return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _COLUMNS)
 
 
-def from_files(spark: SparkSession, path: str, unknown: bool = False) -> DataFrame:
-    """Parsed documents from files; type and size are tested before the content is read, failures are rows with ``error``.
-
-    Files of unknown type are such rows only if ``unknown`` is set; else they are no documents and have no row.
-    """
+def from_files(spark: SparkSession, path: str) -> DataFrame:
+    """Parsed documents from all files under a path, one row a file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return from_bytes(files.select("path", "length", "content"))
+
+
+def from_bytes(files: DataFrame) -> DataFrame:
+    """Parsed documents from (path, length, content). Type and size are tested before the content is read; what cannot be read is a row with ``error``."""
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     known, small = ext.isin(supported()), F.col("length") <= MAX_BYTES
     names = ", ".join("." + t for t in supported())
     error = F.when(~known, F.concat(F.lit("unsupported file type '."), ext, F.lit(f"' (supported: {names})"))).otherwise(f"the file is larger than {MAX_BYTES} bytes")
     refused = {"doc_id": F.col("path"), "path": F.col("path"), "size_bytes": F.col("length"), "error": error}
     shape = T._parse_datatype_string(_COLUMNS)
-    refused = files.where(~(known & small) if unknown else known & ~small).select(*[refused.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
+    refused = files.where(~(known & small)).select(*[refused.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in shape.fields])
     files = files.where(known & small).select("path", "content")
 
     own = dict(EXTRACTORS)
@@ -174,12 +176,12 @@ def from_files(spark: SparkSession, path: str, unknown: bool = False) -> DataFra
         for b in batches:
             out = []
             for p, c in zip(b.column(0), b.column(1), strict=True):
-                name = p.as_py()
+                name, content = p.as_py(), c.as_py() or b""
                 try:
-                    doc = parse_bytes(c.as_py(), name)
+                    doc = parse_bytes(content, name)
                     out.append(doc | {"doc_id": name, "meta": json.dumps(doc["meta"])})
                 except DocumentError as e:
-                    out.append({"doc_id": name, "path": name, "error": str(e)})
+                    out.append({"doc_id": name, "path": name, "size_bytes": len(content), "error": str(e)})
             yield _batch(out)
 
     return files.mapInArrow(run, _COLUMNS).unionByName(refused)

@@ -43,8 +43,7 @@ def corpus(spark, tmp_path):
 def test_compiled_rules_agree_with_the_detail_path(spark, tmp_path):
     docs = corpus(spark, tmp_path)
     bad = docs.where("error is not null").collect()
-    assert len(bad) == 1 and bad[0].path.endswith("c.txt") and "binary" in bad[0].error
-    docs = docs.where("error is null")
+    assert {r.path.rsplit("/", 1)[1]: r.error.split(" (")[0] for r in bad} == {"c.txt": "the file looks binary", "d.pdf": "unsupported file type '.pdf'"}
     fast = {(r.doc_id, r.ord): r for r in audit.audit(docs, spec(*RULES)).collect()}
     slow = {(r.doc_id, r.ord): r for r in audit.audit_in_detail(docs, spec(*RULES)).collect()}
     assert fast.keys() == slow.keys() and len(fast) == len(RULES) * docs.count()
@@ -55,6 +54,23 @@ def test_compiled_rules_agree_with_the_detail_path(spark, tmp_path):
             assert (f.expected, f.actual) == (s.expected, s.actual), (k, rule)
 
 
+def test_what_cannot_be_read_never_passes(spark, tmp_path):
+    docs = corpus(spark, tmp_path).where("error is not null")
+    pattern = ("forbidden_regex", {"pattern": "x"})  # decided in Python, the others by columns
+    rules = spec(pattern, ("word_count", {"max": 5}), ("forbidden_text", {"value": "x"}))
+    rules["requirements"].append({"id": "M", "description": "d", "verification_type": "manual"})
+    rows = audit.audit(docs, rules).collect()
+    assert len(rows) == 2 * 4 and {(r.status, r.n, r.confidence) for r in rows} == {("ERROR", 0, 0.0)} and all("unsupported" in r.actual or "binary" in r.actual for r in rows)
+    full = audit.audit_in_detail(docs, rules).collect()
+    assert len(full) == 2 * 4 and all(r.status == "ERROR" and "could not be read" in r.message for r in full)
+    (score,) = {(r.n_error, r.n_pass, r.compliance_score, r.verification_coverage) for r in audit.scores(docs, rules).collect()}
+    assert score == (4, 0, None, 0.0)
+    assert all(r.word_count is None and "could not be read" in r.notices[0] for r in audit.document_info(docs).collect())
+    results = audit.verdicts(docs, load(rules)).select(audit.blocking(F.col("results"), "critical").alias("b")).collect()
+    assert all(len(r.b) == 0 for r in results)  # none of them is critical
+    assert all(len(r.b) == 4 for r in audit.verdicts(docs, load(rules)).select(audit.blocking(F.col("results"), "any").alias("b")).collect())
+
+
 GOLDEN = [(["PASS", "FAIL"], ["critical", "minor"], 80.0), (["WARNING"], ["info"], 50.0), (["UNVERIFIED"], ["major"], None), (["PASS"] * 15 + ["FAIL"] * 3 + ["UNVERIFIED"] * 7, ["major"] * 25, 83.3)]
 
 

@@ -74,25 +74,77 @@ def test_yaml_guards(tmp_path):
     assert validate(rule)[1]
 
 
-def test_service(place):
+def rpc(service, method, id_=1, **params):
+    return service.handle({"jsonrpc": "2.0", "id": id_, "method": method, "params": params})
+
+
+def tool(service, name, **arguments):
+    answer = rpc(service, "tools/call", name=name, arguments=arguments)["result"]
+    assert answer["isError"] is False and json.loads(answer["content"][0]["text"]) == json.loads(json.dumps(answer["structuredContent"]))
+    return answer["structuredContent"]
+
+
+def test_protocol(place):
     s = Service([str(place)])
-    ask = lambda op, **a: s.handle({"operation": op, "arguments": a})
-    assert ask("list_supported_rules")["result"]["rules"][0]["checker"] == "docx_format"
-    assert ask("audit_file", document=str(place / "doc.md"), specification=str(place / "spec.yml"))["ok"]
-    assert not ask("audit_file", document="/etc/passwd", specification=str(place / "spec.yml"))["ok"]
-    assert ask("extract_requirements", text="Do not use em dashes.")["result"]["specification"]["requirements"][0]["checker"] == "forbidden_punctuation"
-    assert ask("validate_specification", specification={"name": "x", "requirements": []})["result"]["valid"] is False
-    assert ask("compare_preserved_content", content="a b c", protected=["a b"])["result"]["status"] == "PASS"
-    assert ask("audit_text", content="x", specification={"name": "x"})["error"]["type"] == "SpecificationError"
-    assert not ask("nope")["ok"] and not ask("audit_text", wrong=1)["ok"]
+    hello = rpc(s, "initialize", protocolVersion="2025-03-26", capabilities={}, clientInfo={"name": "t", "version": "1"})["result"]
+    assert hello["protocolVersion"] == "2025-03-26" and "tools" in hello["capabilities"] and hello["serverInfo"]["name"] == "compliq" and "never a pass" in hello["instructions"]
+    assert rpc(s, "initialize", protocolVersion="1999-01-01")["result"]["protocolVersion"] == "2025-06-18"
+    assert s.handle({"jsonrpc": "2.0", "method": "notifications/initialized"}) is None and rpc(s, "ping")["result"] == {}
+    tools = {t["name"]: t for t in rpc(s, "tools/list")["result"]["tools"]}
+    assert set(tools) == {"extract_requirements", "validate_specification", "audit_text", "audit_file", "compare_preserved_content", "list_supported_rules"}
+    assert all(t["annotations"]["readOnlyHint"] and t["description"] for t in tools.values())
+    schema = tools["compare_preserved_content"]["inputSchema"]
+    assert schema["required"] == ["content", "protected_text"] and schema["properties"]["protected_text"] == {"anyOf": [{"type": "string"}, {"type": "array", "items": {"type": "string"}}]}
+    assert schema["properties"]["case_sensitive"] == {"type": "boolean", "default": True}
+    for name, arguments in (("audit_text", {"content": "x"}), ("audit_text", {"content": 1, "specification": {}}), ("audit_text", {"content": "x", "specification": {}, "more": 1}), ("compare_preserved_content", {"content": "x", "protected_text": [1]})):
+        assert rpc(s, "tools/call", name=name, arguments=arguments)["result"]["isError"] is True
+    assert rpc(s, "nope")["error"]["code"] == -32601 and rpc(s, "tools/call", name="nope")["error"]["code"] == -32602
+    assert s.handle({"method": "ping"})["error"]["code"] == -32600 and s.handle({"jsonrpc": "2.0", "id": 4, "result": {}}) is None
+    assert [a["id"] for a in s.handle([{"jsonrpc": "2.0", "id": 7, "method": "ping"}, {"jsonrpc": "2.0", "method": "x"}])] == [7]
     out = io.StringIO()
-    serve([str(place)], io.StringIO('{"operation": "list_supported_rules"}\nnot json\n'), out)
-    assert [json.loads(x)["ok"] for x in out.getvalue().splitlines()] == [True, False]
+    serve([str(place)], io.StringIO('{"jsonrpc": "2.0", "id": 1, "method": "ping"}\n\nnot json\n{"jsonrpc": "2.0", "method": "notifications/x"}\n'), out)
+    assert [json.loads(x).get("error", {}).get("code") for x in out.getvalue().splitlines()] == [None, -32700]
+
+
+def test_tools(place, tmp_path_factory, monkeypatch):
+    s = Service([str(place)])
+    assert {r["rule_type"] for r in tool(s, "list_supported_rules")["rules"]} >= {"word_count", "preserve_text", "forbidden_regex"}
+    assert tool(s, "audit_file", file_path=str(place / "doc.md"), specification_path="spec.yml")["ok"]
+    found = tool(s, "extract_requirements", instructions="Do not use em dashes. Hello there you.")
+    assert found["specification"]["requirements"][0]["checker"] == "forbidden_punctuation" and found["skipped_sentences"] == ["Hello there you"]
+    assert tool(s, "validate_specification", specification={"name": "x", "requirements": []})["valid"] is False
+    assert tool(s, "compare_preserved_content", content="a b c", protected_text="a b")["result"]["status"] == "PASS"
+    assert tool(s, "compare_preserved_content", content="One.\n\nTwo.", protected_text=["One.", "Three."])["result"]["status"] == "FAIL"
+    assert tool(s, "audit_text", content="x", specification={"name": "x"})["error"]["code"] == "invalid_specification"
+    outside = tmp_path_factory.mktemp("outside")
+    (outside / "doc.md").write_text("hi")
+    (place / "link.md").symlink_to(outside / "doc.md")
+    for bad in ("/etc/passwd", "../x.md", str(outside / "doc.md"), "link.md"):
+        assert tool(s, "audit_file", file_path=bad, specification_path="spec.yml")["error"]["code"] == "path_not_allowed"
+    assert tool(s, "audit_file", file_path="gone.md", specification_path="spec.yml")["error"]["code"] == "file_error"
+
+    def broken(*a, **k):
+        raise RuntimeError("password=hunter2")
+
+    monkeypatch.setattr(api, "audit_text", broken)
+    answer = tool(s, "audit_text", content="x", specification={})
+    assert answer["error"]["code"] == "internal_error" and "hunter2" not in json.dumps(answer)
+
+
+def test_server_over_standard_streams(place):
+    import subprocess
+    import sys
+
+    said = "".join(json.dumps({"jsonrpc": "2.0", "id": k, "method": m, "params": p}) + "\n" for k, (m, p) in enumerate([("initialize", {"protocolVersion": "2025-06-18"}), ("tools/list", {})]))
+    out = subprocess.run([sys.executable, "-m", "compliq", "mcp", "--root", str(place)], input=said, capture_output=True, text=True, timeout=120, check=True).stdout
+    first, second = (json.loads(x) for x in out.splitlines())
+    assert first["result"]["protocolVersion"] == "2025-06-18" and len(second["result"]["tools"]) == 6
 
 
 def test_corpus_command(spark, place, tmp_path):
     assert run("corpus", place, "-s", place / "spec.yml", "-o", tmp_path / "out") == 0
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 4 * 3
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == 4 * 5 and {r.doc_id.rsplit(".", 1)[1] for r in rows if r.status == "ERROR"} == {"yml"}
 
 
 def test_refused_files_are_rows_with_an_error(spark, tmp_path):
@@ -110,12 +162,12 @@ def test_refused_files_are_rows_with_an_error(spark, tmp_path):
     (folder / "c.md").write_bytes(b"a " * (limit // 2) + b"a")
     (folder / "d.md").write_bytes(b"a" * 25_000_001)
     name = lambda r: r.doc_id.rsplit("/", 1)[1]
-    got = {name(r): (r.error, r.size_bytes) for r in documents.from_files(spark, str(folder), unknown=True).select("doc_id", "error", "size_bytes").collect()}
+    got = {name(r): (r.error, r.size_bytes) for r in documents.from_files(spark, str(folder)).select("doc_id", "error", "size_bytes").collect()}
     assert got["a.txt"][0] is None and got["d.md"] == (None, 25_000_001) and len(got) == 5
     assert "unsupported file type '.xyz'" in got["b.xyz"][0] and "unsupported" in got["noext"][0]
     assert got["c.md"] == (f"the file is larger than {limit} bytes", limit + 1)
-    assert {name(r) for r in documents.from_files(spark, str(folder)).select("doc_id").collect()} == {"a.txt", "c.md", "d.md"}
     out = str(tmp_path / "out.parquet")
     assert cli.run_corpus(SimpleNamespace(folder=str(folder), spec=spec(("word_count", {"min": 2})), output=out, force=False)) == cli.OK
-    assert {name(r): r.status for r in spark.read.parquet(out).collect()} == {"a.txt": "PASS", "d.md": "FAIL"}
-    assert {name(r): r.error for r in spark.read.parquet(out + ".errors").collect()} == {k: e for k, (e, _) in got.items() if e}
+    rows = {name(r): r for r in spark.read.parquet(out).collect()}
+    assert {k: r.status for k, r in rows.items()} == {"a.txt": "PASS", "d.md": "FAIL", "b.xyz": "ERROR", "noext": "ERROR", "c.md": "ERROR"}
+    assert all(rows[k].actual == e for k, (e, _) in got.items() if e)
