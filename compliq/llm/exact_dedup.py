@@ -2,27 +2,36 @@
 
 A snapshot is immutable, so its digests are known when its filter is built: the filter is a static three-wise binary-fuse
 filter (Graf and Lemire, 2022), one per shard of digests, with 8-bit fingerprints: about 9 bits a digest. Incoming digests
-are first grouped among themselves (copies within a new batch never meet the snapshot one by one), then screened shard by
-shard. A negative is certainly new. A positive joins the snapshot's exact buckets, and every group with more than one
-member, or with a positive, has its texts compared byte by byte: it is grouped once more by the text itself.
+are first grouped among themselves (copies within a new batch never meet the snapshot one by one), then screened. They stay where
+they are, and the filters come to them by broadcast, up to ``FILTER_BYTES``; beyond that both meet by shard and salt, the filters once
+for each salt, so that no task holds more than about ``SHARD_KEYS`` incoming digests whatever the sizes of the two. A negative is certainly new. A
+positive joins the snapshot's exact buckets, and every group with more than one
+member, or with a positive, has its texts compared byte by byte: it is grouped once more by the text itself, and texts that only share their
+digest are kept apart.
+
+Snapshots of like size are merged as arrivals go on, so that a batch is screened against as many as the logarithm of the arrivals.
 
 Defined results: null text counts as empty; rows that repeat both id and text are one document, so all of them carry the
-same verdict; ids may be null (a null id never wins over another); an empty table gives an empty result; other columns
-of the input are ignored.
+same verdict; of equal texts the largest id stays, a tie being one document; ids may be null (a null id never wins over another); texts are compared whole, however
+long; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compliq.llm.common import BROADCAST_ROWS, materialize, table, text_of
+from compliq.llm.common import bounded, materialize, table, text_of
 
-SHARD_KEYS = 200_000
+#: Digests of a filter, and of the incoming side of a task; bytes of filters that are broadcast, at most.
+SHARD_KEYS, FILTER_BYTES = 200_000, 32 << 20
 _U = np.uint64
 
 
@@ -97,85 +106,111 @@ class FuseFilter:
         return (self.prints[a] ^ self.prints[b] ^ self.prints[c]) == mark
 
 
-def _keys(digests: pd.Series) -> np.ndarray:
-    """The first eight bytes of each digest, short ones padded with zeros."""
-    return np.frombuffer(b"".join(bytes(x[:8]).ljust(8, b"\0") for x in digests), dtype="<u8")
+def _u(longs: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(longs, np.int64).view(np.uint64)
 
 
-def _build_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    f = FuseFilter.build(_keys(pdf["digest"]))
+def _build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    f = FuseFilter.build(_u(pdf["key"].to_numpy()))
     return pd.DataFrame({"shard": [key[0]], "seed": [f.seed], "segment": [f.segment], "segments": [f.count], "prints": [f.prints.tobytes()]})
 
 
-def _screen_shard(key: tuple, incoming: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+def _filter(row) -> FuseFilter:
+    return FuseFilter(row.seed, row.segment, row.segments, np.frombuffer(row.prints, np.uint8))
+
+
+def _screen(_: tuple, incoming: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
     hit = np.zeros(len(incoming), bool)
     for f in filters.itertuples():
-        hit |= FuseFilter(f.seed, f.segment, f.segments, np.frombuffer(f.prints, np.uint8)).contains(_keys(incoming["digest"]))
+        hit |= _filter(f).contains(_u(incoming["key"].to_numpy()))
     return incoming.loc[hit, ["digest", "tag"]]
 
 
 def _shard(shards: int) -> Column:
-    """By other bytes of the digest than the filter hashes."""
-    return F.pmod(F.xxhash64(F.col("digest")), F.lit(shards)).cast("int")
+    """By other bits of the key than the filter takes."""
+    return F.pmod(F.shiftrightunsigned("key", 17), F.lit(shards)).cast("int")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("digest", "tag").agg(F.count(F.lit(1)).alias("n"))
+    """(digest, tag, key, n); the key is what filters know of a digest."""
+    return rows.groupBy("digest", "tag").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.xxhash64("digest"))
 
 
 class Snapshot:
-    """An immutable batch of documents: its rows by digest, its exact buckets and its filters, written once."""
-
-    def __init__(self, rows: DataFrame):
-        self.rows = rows
-        self.buckets = materialize(_groups(rows))
-        self.shards = max(1, -(-self.buckets.count() // SHARD_KEYS))
-        digests = self.buckets.select("digest", _shard(self.shards).alias("shard"))
-        self.filters = materialize(digests.groupBy("shard").applyInPandas(_build_shard, "shard int, seed long, segment long, segments long, prints binary"))
-
-    def screen(self, groups: DataFrame) -> DataFrame:
-        """The groups (digest, tag) of a batch that the filters do not rule out."""
-        incoming = groups.select("digest", "tag", _shard(self.shards).alias("shard"))
-        return incoming.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_screen_shard, "digest binary, tag long")
-
-    def matches(self, groups: DataFrame) -> DataFrame:
+    """Immutable digests: exact buckets and their filters, written once. ``tier``: as many arrivals as 2 to its power."""
+
+    def __init__(self, buckets: DataFrame, tier: int = 0):
+        self.buckets, self.tier = materialize(buckets), tier
+        self.size = self.buckets.count()
+        self.shards = max(1, -(-self.size // SHARD_KEYS))
+        keys = self.buckets.select("key", _shard(self.shards).alias("shard"))
+        self.filters = materialize(keys.groupBy("shard").applyInPandas(_build, "shard int, seed long, segment long, segments long, prints binary"))
+
+    def merged(self, other: Snapshot) -> Snapshot:
+        both = self.buckets.union(other.buckets.select(*self.buckets.columns))
+        return Snapshot(both.groupBy("digest", "tag", "key").agg(F.sum("n").alias("n")).select(*self.buckets.columns), max(self.tier, other.tier) + 1)
+
+    def screen(self, groups: DataFrame, size: int, filter_bytes: int) -> DataFrame:
+        """The groups (digest, tag), ``size`` of them, that the filters do not rule out."""
+        total = self.filters.agg(F.sum(F.length("prints"))).first()[0] or 0
+        if total > filter_bytes:
+            salts = max(1, -(-size // (self.shards * SHARD_KEYS)))
+            incoming = groups.select("digest", "tag", "key", _shard(self.shards).alias("shard"), F.pmod("key", F.lit(salts)).cast("int").alias("salt"))
+            filters = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            return incoming.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInPandas(_screen, "digest binary, tag long")
+        shards, shared = self.shards, groups.sparkSession.sparkContext.broadcast({r["shard"]: r for r in self.filters.collect()})  # at most ``filter_bytes``
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filters = {k: _filter(r) for k, r in shared.value.items()}
+            for b in batches:
+                keys = _u(b.column("key").to_numpy())
+                shard, hit = (keys >> _U(17)) % _U(shards), np.zeros(len(keys), bool)
+                for k, f in filters.items():
+                    here = shard == k
+                    hit[here] = f.contains(keys[here])
+                yield b.select(["digest", "tag"]).filter(pa.array(hit))
+
+        return groups.select("digest", "tag", "key").mapInArrow(run, "digest binary, tag long")
+
+    def matches(self, groups: DataFrame, size: int, filter_bytes: int) -> DataFrame:
         """Positives that the exact buckets confirm by the whole digest."""
-        return self.screen(groups).join(self.buckets.select("digest", "tag"), ["digest", "tag"])
+        return self.screen(groups, size, filter_bytes).join(self.buckets.select("digest", "tag"), ["digest", "tag"])
 
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def exact_dedup(batches: list[DataFrame], *, id_col: str = "doc_id", text_col: str = "text", digest=sha256) -> DataFrame:
+def exact_dedup(batches: list[DataFrame], *, id_col: str = "doc_id", text_col: str = "text", digest=sha256, tag=F.xxhash64, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row per row of all batches: ``id_col``, keep_id (largest id of equal texts), group_size, kept, digest (binary).
 
-    The batches arrive in their order. Each becomes an immutable snapshot, and later ones are screened against it.
+    The batches arrive in their order. Each becomes an immutable snapshot, and later ones are screened against those before. Digest
+    and tag (a long) only propose: texts decide.
     """
     texts = [d.select(d[id_col].alias("id"), text_of(d, text_col).alias("text")) for d in batches]
-    texts = [t.select("id", "text", digest(F.col("text")).alias("digest"), F.xxhash64("text").alias("tag")) for t in texts]
+    texts = [t.select("id", "text", digest(F.col("text")).alias("digest"), tag(F.col("text")).alias("tag")) for t in texts]
+    rows = [materialize(t.select("id", "digest", "tag")) for t in texts]
     snapshots: list[Snapshot] = []
     suspects: list[DataFrame] = []
-    for t in texts:
-        groups = Snapshot(materialize(t.select("id", "digest", "tag")))
-        suspects.append(groups.buckets.where("n > 1").select("digest", "tag"))
-        suspects += [s.matches(groups.buckets) for s in snapshots]
-        snapshots.append(groups)
-    candidates = suspects[0]
-    for s in suspects[1:]:
-        candidates = candidates.union(s)
-    candidates = materialize(candidates.distinct())
-    small = candidates.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    every, rows = texts[0], snapshots[0].rows
-    for t, s in zip(texts[1:], snapshots[1:], strict=True):
-        every, rows = every.union(t), rows.union(s.rows)
-    members = every.join(F.broadcast(candidates) if small else candidates, ["digest", "tag"])
+    for r in rows:
+        arrived = Snapshot(_groups(r))
+        suspects.append(arrived.buckets.where("n > 1").select("digest", "tag"))
+        suspects += [s.matches(arrived.buckets, arrived.size, filter_bytes) for s in snapshots]
+        snapshots.append(arrived)
+        while len(snapshots) > 1 and snapshots[-1].tier == snapshots[-2].tier:
+            last = snapshots.pop()
+            snapshots.append(snapshots.pop().merged(last))
+    candidates = bounded(materialize(reduce(DataFrame.union, suspects).distinct()))
+    members = reduce(DataFrame.union, texts).join(candidates, ["digest", "tag"])
     alike = members.groupBy("digest", "tag", "text").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keep"))
-    # two texts under one digest, length and tag would be two rows here: the byte check then stops the job
-    checked = alike.groupBy("digest", "tag").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"), F.max("keep").alias("keep"))
-    clash = F.raise_error(F.lit("two texts share their digest and tag"))
-    checked = materialize(checked.select("digest", "tag", F.when(F.col("texts") > 1, clash.cast("long")).otherwise(F.col("n")).alias("n"), "keep"))
-    out = rows.join(checked, ["digest", "tag"], "left")
+    # two texts under one digest and tag are two rows here
+    known = alike.groupBy("digest", "tag").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("n"), F.max("keep").alias("keep"))
+    known = materialize(known)
+    out = reduce(DataFrame.union, rows).join(known, ["digest", "tag"], "left").where("texts is null or texts = 1").select("id", "digest", "n", "keep")
+    clash = known.where("texts > 1").select("digest", "tag")
+    if not clash.isEmpty():
+        apart = members.join(bounded(clash), ["digest", "tag"]).join(alike, ["digest", "tag", "text"])
+        out = out.union(apart.select("id", "digest", "n", "keep"))
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep"))
     return out.select(
         F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),

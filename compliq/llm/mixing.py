@@ -1,7 +1,8 @@
 """Mixing sources to target weights: Efraimidis-Spirakis sampling under token budgets, in DataFrame functions only.
 
 Each source gets a target: its weight's share of the mix, capped at a multiple of its own size, the excess reshared by
-weight (water-filling: with the sources sorted by cap over weight, one pass of running sums finds the level). Whole
+weight (water-filling: sources whose share reaches their cap are closed and the level is raised for the others, until none more
+closes; each turn is one aggregate over the sources, of which there may be many). Whole
 epochs of a source come first; what is left of the target is filled in the order of exponential keys -ln(u) / w, where w is
 the document's quality weight, until the prefix sum of sizes reaches it. The document at the edge gives the words that
 still fit, so a source's total meets its target to within a word.
@@ -9,7 +10,8 @@ still fit, so a source's total meets its target to within a word.
 Prefix sums run in two levels (bins of the key, then within a bin), so a source with a third of all rows is no single task.
 
 Defined results: null text has size 0 and nothing is taken of it; a null source is a source of its own, the last; keys
-depend on id and seed alone, so reruns agree; repeated rows are taken one by one; an empty table gives an empty result.
+depend on id, text and seed alone, so reruns agree; of equal keys the smaller id comes first; repeated rows are taken one by one; texts are counted whole, however long; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,34 +25,37 @@ WEIGHTS = (3.0, 1.0, 2.0)
 
 
 def quality_weight(text: Column) -> Column:
-    """Between 0.5 and 1.5: half plus the share of the characters that are lower-case letters or white space."""
-    plain = F.length(text) - F.length(F.regexp_replace(text, r"[\p{Ll}\s]+", ""))
+    """Between 0.5 and 1.5: half plus the share of the characters that are letters (or their marks) of any script, or white space."""
+    plain = F.length(text) - F.length(F.regexp_replace(text, r"[\p{L}\p{M}\s]+", ""))
     return F.lit(0.5) + F.when(F.length(text) > 0, plain / F.length(text)).otherwise(F.lit(0.0))
 
 
+def _ranked(sources: DataFrame) -> DataFrame:
+    """Adds ``rank``, from 0 by code point, null last: within ranges of sources, after the sizes of the ranges before."""
+    ranges = materialize(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("range", F.spark_partition_id()))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    before = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("m")).select("range", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("before"))
+    here = F.row_number().over(Window.partitionBy("range").orderBy(F.col("source").asc_nulls_last()))
+    return ranges.join(F.broadcast(before), "range").withColumn("rank", F.col("before") + here - 1).drop("range", "before")
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Adds ``target`` to (source, source_size): one row per source, so the windows here run over sources, not documents."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    """Adds ``target`` to (source, source_size), one row per source."""
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    s = sources.withColumn("w", F.element_at(cycle, (F.row_number().over(by_name) - 1) % len(weights) + 1))
-    s = s.withColumn("cap", F.lit(float(cap)) * F.col("source_size")).withColumn("level", F.col("cap") / F.col("w"))
-    every = Window.orderBy("level", F.col("source").asc_nulls_last())
-    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.select(
-        "*", F.sum("cap").over(every.rowsBetween(Window.unboundedPreceding, 0)).alias("caps"),
-        (F.sum("w").over(whole) - F.sum("w").over(every.rowsBetween(Window.unboundedPreceding, 0))).alias("rest"),
-        (F.lit(float(share)) * F.sum("source_size").over(whole)).alias("total"),
-    )
-    full = F.col("caps") + F.col("level") * F.greatest(F.col("rest"), F.lit(0.0)) <= F.col("total")
-    s = s.withColumn("full", full)
-    spent = F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(whole)
-    open_w = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w"))).over(whole)
-    water = (F.col("total") - spent) / F.when(open_w > 0, open_w)
-    return s.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least(F.col("cap"), water * F.col("w"))).alias("target"))
+    s = _ranked(sources).withColumn("w", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")))
+    s = materialize(s.withColumn("cap", F.lit(float(cap)) * F.col("source_size")).select("source", "source_size", "w", "cap"))
+    total = float(share) * (s.agg(F.sum("source_size")).first()[0] or 0)
+    level, closed = 0.0, -1
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("w")
+        spent, open_, n = s.agg(F.sum(F.when(full, F.col("cap")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("w"))), F.count_if(full)).first()
+        if n == closed or not open_:
+            return s.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.lit(level) * F.col("w")).alias("target"))
+        level, closed = (total - spent) / open_, n
 
 
 def _key(id_col: Column, text: Column, seed: int) -> Column:
-    return -F.log(uniform(F.lit(seed), id_col.cast("string"))) / quality_weight(text)
+    return -F.log(uniform(F.lit(seed), id_col.cast("string"), F.xxhash64(text))) / quality_weight(text)
 
 
 def _part(source: Column) -> Column:

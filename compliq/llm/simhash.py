@@ -10,7 +10,7 @@ with <m(i), v> odd. Two fingerprints that differ in at most ``radius`` bits agre
 Within a bucket (mask, masked bits) of up to ``dense`` points a search that compares reached points with the others finds the
 links, and only a spanning forest of them is emitted. Points of larger buckets agree on the masked bits, so they are covered again
 over the bits that are left: the guarantee holds for those bits alike, and each turn halves them, so that buckets of distinct points
-cannot stay large. No partner is left out, and no task holds more than ``dense`` points of a bucket.
+cannot stay large; it goes on until none is. No partner is left out, and no task holds more than ``dense`` points of a bucket.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and is linked like any other; fewer words
 than a shingle are one shingle; repeated rows are in one component; null ids are never a component's name unless all its ids
@@ -117,8 +117,10 @@ def links(points: DataFrame, radius: int, dense: int = 4096) -> DataFrame:
         here = small.select("fps").mapInArrow(pair, "a long, b long")
         found = here if found is None else found.union(here)
         large = shared.where(F.col("m") > dense)
-        if turn == 6 or large.isEmpty():
+        if large.isEmpty():
             return found
+        if turn == 64:  # with no more open bits than 2^bits <= dense distinct points have, no bucket is large
+            raise RuntimeError("buckets of distinct points stay large")
         todo, turn = large.select("fp", "open", F.col("bucket").alias("path")), turn + 1
 
 

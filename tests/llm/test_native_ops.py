@@ -34,16 +34,31 @@ def brute_dedup(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("weak", [False, True])
-def test_exact_dedup_matches_brute_force(spark, weak):
+@pytest.mark.parametrize("weak,arrivals,filter_bytes", [("", 2, 1 << 20), ("digest", 2, 1 << 20), ("both", 2, 1 << 20), ("", 5, 0), ("both", 3, 0), ("", 1, 0)])
+def test_exact_dedup_matches_brute_force(spark, weak, arrivals, filter_bytes):
+    """With a weak digest and tag different texts share them: the texts decide."""
     docs = awkward(spark).union(documents(spark, [(100 + k, f"text {k % 7}") for k in range(60)]))
     digest = (lambda t: F.substring(exact_dedup.sha256(t), 1, 1)) if weak else exact_dedup.sha256
-    later = F.coalesce(F.col("doc_id") % 3 == 0, F.lit(False))
-    out = exact_dedup.exact_dedup([docs.where(~later), docs.where(later)], digest=digest)
+    tag = (lambda t: F.xxhash64(t) % 2) if weak == "both" else F.xxhash64
+    turn = F.coalesce(F.col("doc_id") % arrivals, F.lit(0))
+    out = exact_dedup.exact_dedup([docs.where(turn == k) for k in range(arrivals)], digest=digest, tag=tag, filter_bytes=filter_bytes)
     got = sorted([(r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()], key=str)
     assert got == brute_dedup([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_snapshots_are_merged_in_tiers_and_screens_deal_a_large_batch(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", 50)
+    made = []
+    real = exact_dedup.Snapshot.screen
+    monkeypatch.setattr(exact_dedup.Snapshot, "screen", lambda self, g, n, b: made.append((self.tier, self.shards)) or real(self, g, n, b))
+    docs = documents(spark, [(k, f"text {k % 700}") for k in range(1200)])
+    parts = [docs.where(F.col("doc_id") % 4 == k) for k in range(4)]
+    out = exact_dedup.exact_dedup(parts, filter_bytes=0)
+    got = sorted([(r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()], key=str)
+    assert got == brute_dedup([(r.doc_id, r.text) for r in docs.collect()])
+    assert [t for t, _ in made] == [0, 1, 1, 0] and all(s > 1 for _, s in made)
+
+
 def test_exact_dedup_of_a_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in common.table(spark, sf, "documents").collect()]
     out = exact_dedup.op8_exact_dedup(spark, sf).collect()
@@ -100,6 +115,21 @@ def test_mixing_prefers_quality(spark):
     assert good > 1.1 * sum(r.taken for r in rows if not r.doc_id % 2)
 
 
+def test_quality_weight_is_fair_to_scripts(spark):
+    texts = ["plain words and more of them", "كلمات عادية وأكثر منها", "普通的文字和更多的文字", "обычные слова и ещё", "ORDINARY WORDS", "$$$ 123 %%% 456"]
+    w = [r.w for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.quality_weight(F.col("t")).alias("w")).collect()]
+    assert all(math.isclose(x, 1.5) for x in w[:5]) and w[5] < 0.8
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(2)
+    sizes = {f"s{i:05d}": int(rng.paretovariate(0.7) * 10) for i in range(3000)} | {"zero": 0, None: 7}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df).collect()}
+    want = water(sizes)
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-9) for k in want)
+
+
 def check_shards(rows, shards, tolerance):
     size, slots = defaultdict(int), defaultdict(list)
     for r in rows:
@@ -117,7 +147,46 @@ def test_sharding_balances_bytes(spark, sf, shards):
     text = {r.doc_id: r.text or "" for r in docs.collect()}
     assert len(rows) == len(text)
     assert all(r["size"] == len(text[r.doc_id].encode()) + 1 and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in rows)
-    check_shards(rows, shards, 3 * max(r["size"] for r in rows))
+    check_shards(rows, shards, max(r["size"] for r in rows))
+    together = defaultdict(set)
+    for r in rows:
+        together[text[r.doc_id]].add(r.shard)
+    total = sum(r["size"] for r in rows)
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[text[r.doc_id]] += r["size"]
+    assert all(len(v) == 1 for t, v in together.items() if sizes[t] <= 0.002 * total)
+
+
+def test_shards_of_like_documents_are_equal_within_a_hundredth(spark):
+    rng = random.Random(8)
+    docs = documents(spark, [(i, " ".join(rng.choice(["aa", "bbb", "c\nc", "ü"]) for _ in range(rng.randint(5, 60))) + f" {i}", rng.choice(["en", "fr", None]), "a") for i in range(4000)])
+    for shards, target in ((8, None), (7, None), (None, 40_000)):
+        rows = sharding.kd_shards(docs, shards, target_bytes=target).collect()
+        sizes = defaultdict(int)
+        for r in rows:
+            sizes[r.shard] += r["size"]
+        total = sum(sizes.values())
+        n = shards or -(-total // target)
+        assert sorted(sizes) == list(range(n)) and max(sizes.values()) <= 1.01 * total / n + 200 and min(sizes.values()) >= 0.99 * total / n - 200
+        if target:
+            assert max(sizes.values()) <= 1.01 * target
+
+
+def test_equal_texts_stay_together_whatever_their_language(spark):
+    docs = documents(spark, [(2 * i + k, f"text number {i} " + "x" * (i % 90), lang, "a") for i in range(2000) for k, lang in enumerate(("en", "fr"))])
+    rows = {r.doc_id: r for r in sharding.kd_shards(docs, 8).collect()}
+    assert all(rows[2 * i].shard == rows[2 * i + 1].shard for i in range(2000))
+    placed = {r.doc_id: r.shard for r in sharding.sharded(docs, 8).collect()}
+    assert placed == {k: r.shard for k, r in rows.items()}
+
+
+def test_sharding_uses_no_python_and_no_product(spark, sf, capsys):
+    docs = common.table(spark, sf, "documents")
+    for df in (sharding.kd_shards(docs, 8), sharding.sharded(docs, 8)):
+        df.explain("formatted")
+        plan = capsys.readouterr().out
+        assert "Python" not in plan and "Pandas" not in plan and "ExistingRDD" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_sharding_spreads_a_hot_group_and_keeps_small_ones(spark):
