@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -34,22 +35,41 @@ def shared_root(spark: SparkSession) -> str:
     return str(root).rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
+#: Folders, inside the application's own, of the scratches that are open.
+_SCRATCHES: list[str] = []
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
+    """Cut lineage: write to the shared folder and read back, so that a lost executor costs no recomputation. ``keep``: outside the innermost scratch."""
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    path = "/".join([_own_folder(spark), *(_SCRATCHES[:-1] if keep else _SCRATCHES), uuid.uuid4().hex])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialized inside, and not kept, is deleted at the end; nothing that reads it may be used after that."""
+    _SCRATCHES.append("scratch-" + uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        delete(spark, "/".join([_own_folder(spark), *_SCRATCHES]))
+        _SCRATCHES.pop()
+
+
 def _own_folder(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/compliq/{spark.sparkContext.applicationId}"
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what this application has materialized. For when its results are written: they read those tables until then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    delete(spark, _own_folder(spark))
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,14 +2,15 @@
 
 Each text is reduced, once, to a few statistics. Cosines of random projections of the standardized statistics approximate a Gaussian
 kernel (Rahimi and Recht, 2007). Every partition of the labelled rows sums its part of the normal equations, per fold; the sums
-are added in two steps, so the driver gets a bounded number of small matrices. The ridge solution is fitted on all folds; for
+are added ``FAN`` at a time, in rounds, until so few are left for the driver. Features are rounded to fixed point and sums are integers, so neither the order
+of rows nor a task that runs twice changes a bit of the result. The ridge solution is fitted on all folds; for
 calibration each row is scored by the solution without its fold, the scores are binned, and pool-adjacent-violators over the bins
 gives a monotone map to probabilities.
 
 All labelled rows that may be learned from are used; nothing is sampled.
 
 Defined results: null text counts as empty; an empty text has statistics zero and is scored like any other; repeated rows score
-alike; null labels or ids are no examples; without labels everything scores 0.5, with labels of one kind about that kind;
+alike; null labels or ids are no examples; an id with several labels has the largest; equal raw scores get equal scores; without labels everything scores 0.5, with labels of one kind about that kind;
 an empty table gives an empty result; other columns are ignored. Texts are read whole.
 """
 
@@ -21,12 +22,15 @@ from operator import eq
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from compliq.llm.common import held_out, materialize, table, text_of
 
-FOLDS, BINS, PARTS = 3, 1000, 16
+FOLDS, BINS, FAN = 3, 1000, 16
+#: Fixed point of statistics and of features. Sums of products of features are exact up to 2^31 rows.
+POINT, FEATURE_POINT = 1 << 16, 1 << 16
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\x0b\x0c\r", b".,;:?'\"", b"!", b"|", b"#$%&*+=<>@^_~`", b"()[]{}/\\-"), 1):
     _CLASS[list(_chars)] = _k
@@ -111,32 +115,38 @@ def quality(
     known = known.where("may and id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     fold = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("fold")), F.lit(FOLDS)).cast("int")
     rows = materialize(stats.join(known, "id").select("x", "y", fold.alias("fold")))
-    cols = [F.element_at("x", i + 1) for i in range(N_STATS)]
-    facts = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols], *[F.stddev_pop(c) for c in cols]).first()
+    fixed = [F.round(F.element_at("x", i + 1) * POINT).cast("decimal(38,0)") for i in range(N_STATS)]
+    facts = rows.agg(F.count(F.lit(1)), *[F.sum(c) for c in fixed], *[F.sum((c * c).cast("decimal(38,0)")) for c in fixed]).first()
     if not facts[0]:
         return stats.select(F.col("id").alias(id_col), F.lit(0.5).alias("score"))
-    kernel = Kernel(np.array(facts[1 : N_STATS + 1]), np.array(facts[N_STATS + 1 :]), dims, width)
+    mean = np.array([float(s) / facts[0] / POINT for s in facts[1 : N_STATS + 1]])
+    square = [(int(q) * facts[0] - int(s) ** 2) / (facts[0] * POINT) ** 2 for s, q in zip(facts[1 : N_STATS + 1], facts[N_STATS + 1 :], strict=True)]
+    kernel = Kernel(mean, np.sqrt(np.maximum(square, 0)), dims, width)
     size = dims + 1
 
     def normal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, c = np.zeros((FOLDS, size, size)), np.zeros((FOLDS, size))
+        a, c = np.zeros((FOLDS, size, size), np.int64), np.zeros((FOLDS, size), np.int64)
         for pdf in frames:
-            z, y = kernel(_stack(pdf["x"])), pdf["y"].to_numpy()
-            for f in range(FOLDS):
-                at = pdf["fold"].to_numpy() == f
-                a[f] += z[at].T @ z[at]
-                c[f] += z[at].T @ y[at]
-        yield pd.DataFrame({"part": [int(np.random.default_rng().integers(PARTS))], "sums": [np.concatenate([a.ravel(), c.ravel()]).tobytes()]})
+            for i in range(0, len(pdf), 4096):  # sums of so few products are exact in doubles
+                part = pdf.iloc[i : i + 4096]
+                z, y, fold = np.rint(kernel(_stack(part["x"])) * FEATURE_POINT), part["y"].to_numpy(), part["fold"].to_numpy()
+                for f in range(FOLDS):
+                    here = z[fold == f]
+                    a[f] += (here.T @ here).astype(np.int64)
+                    c[f] += (here.T @ y[fold == f]).astype(np.int64)
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "sums": [np.concatenate([a.ravel(), c.ravel()]).tobytes()]})
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [key[0]], "sums": [np.sum([np.frombuffer(s) for s in pdf["sums"]], axis=0).tobytes()]})
+        return pd.DataFrame({"part": [key[0]], "sums": [np.sum([np.frombuffer(s, np.int64) for s in pdf["sums"]], axis=0).tobytes()]})
 
-    sums = rows.mapInPandas(normal, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary")
-    total = np.sum([np.frombuffer(r["sums"]) for r in sums.collect()], axis=0)  # at most PARTS rows
-    a, c = total[: FOLDS * size * size].reshape(FOLDS, size, size), total[FOLDS * size * size :].reshape(FOLDS, size)
-    scale = ridge
-    weights = solve(a.sum(axis=0), c.sum(axis=0), scale)
-    without = np.array([solve(a.sum(axis=0) - a[f], c.sum(axis=0) - c[f], scale) for f in range(FOLDS)])
+    sums = materialize(rows.mapInPandas(normal, "part long, sums binary"))
+    while sums.count() > FAN:  # a task adds at most FAN of them
+        sums = materialize(sums.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part").applyInPandas(add, "part long, sums binary"))
+    total = np.sum([np.frombuffer(r["sums"], np.int64) for r in sums.collect()], axis=0)  # at most FAN rows
+    total = total / float(FEATURE_POINT) ** 2
+    a, c = total[: FOLDS * size * size].reshape(FOLDS, size, size), total[FOLDS * size * size :].reshape(FOLDS, size) * FEATURE_POINT
+    weights = solve(a.sum(axis=0), c.sum(axis=0), ridge)
+    without = np.array([solve(a.sum(axis=0) - a[f], c.sum(axis=0) - c[f], ridge) for f in range(FOLDS)])
 
     def outside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -152,7 +162,8 @@ def quality(
         for pdf in frames:
             raw = kernel(_stack(pdf["x"])) @ weights
             # a hundredth of the raw score keeps the order within a pool
-            yield pd.DataFrame({"id": pdf["id"], "score": np.clip(0.99 * np.interp(raw, centres, values) + 0.01 * np.clip(raw, 0, 1), 0, 1)})
+            score = 0.99 * np.interp(raw, centres, values) + 0.01 * np.clip(raw, 0, 1)
+            yield pd.DataFrame({"id": pdf["id"], "score": np.round(np.clip(score, 0, 1), 9)})  # what a batch's shape does to the last bits goes
 
     kind = docs.schema[id_col].dataType.simpleString()
     return stats.mapInPandas(score, f"id {kind}, score double").withColumnRenamed("id", id_col)

@@ -4,13 +4,17 @@ Rules come first: one fits its host and all subdomains where the path starts wit
 that rules decide are the labelled examples from which the tree learns about the others.
 
 The tree has one branch per host. Segments that are variable by form (numbers, hexadecimal or mixed identifiers, dates) become
-typed wildcards at once; pages are then grouped by host and template, so everything after that is small. Level by level, a
-node with many, mostly distinct children gets a wildcard for them, and children whose labelled purity does not differ from
-that of all their siblings by more than ``z`` standard errors are merged. A template's purity is smoothed towards its
+typed wildcards at once; pages are then grouped by host and template. Level by level, a node with many, mostly distinct children gets a wildcard
+for them. Otherwise its children are merged with each other where their labels do not tell them apart: in the order of their purity, neighbours that differ by no
+more than ``z`` standard errors become one branch; children without labels are one branch. A template's purity is smoothed towards its
 parent's, the host's towards the whole table's; templates above ``threshold`` are rejected.
 
+All of it is aggregates and joins of aggregates, by host and node and segment, so a host with a third of all pages is no single task. Only the order of
+purities is a window over a node, and over distinct pairs of label counts, not over children: n labelled pages make at most about n^(2/3) such pairs.
+
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged as any other
-template; repeated rows are judged alike; with no labelled page the prior decides (allow); an empty table gives an empty
+template; urls are read whole, however long, and segments beyond ``depth`` count as one; of rules of equal length the one that stands first; repeated rows are judged
+alike; children of equal purity are merged; with no labelled page the prior decides (allow); an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -81,42 +85,63 @@ def url_verdicts(
     rows = rows.withColumn("rule", matched(rules, F.col("host"), F.col("path"), lambda r: r.name)).withColumn("ruled", matched(rules, F.col("host"), F.col("path"), lambda r: r.verdict))
     shape = F.transform(F.split(F.regexp_replace("path", r"^/+|/+$", ""), "/+"), typed)
     rows = materialize(rows.withColumn("shape", F.array_join(shape, "/")))
-    known = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("bad"))
-    labels, bad = known.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    tree = known.withColumn("p", F.lit((bad + 1) / (labels + 2) if labels else 0.0))
-    tree = tree.withColumn("segments", F.split("shape", "/")).withColumn("node", F.lit(""))
-    smooth = (F.col("node_bad") + strength * F.col("p")) / (F.col("node_labelled") + strength)
-
-    def settle(t: DataFrame) -> DataFrame:
-        """Purity of each row's node, smoothed towards what it had before."""
-        by = Window.partitionBy("host", "node")
-        t = t.withColumns({"node_bad": F.sum("bad").over(by), "node_labelled": F.sum("labelled").over(by)})
-        return t.withColumn("p", smooth)
-
-    tree = materialize(settle(tree))
+    counts = {"n": F.sum("n"), "labelled": F.sum("labelled"), "bad": F.sum("bad")}
+    tree = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("bad"))
+    tree = materialize(tree.withColumns({"segments": F.split("shape", "/"), "node": F.lit("")}))
+    labels, bad = tree.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    prior = (bad + 1) / (labels + 2) if labels else 0.0
+
+    def nodes(t: DataFrame) -> DataFrame:
+        """(host, node) with its counts."""
+        return t.groupBy("host", "node").agg(*[c.alias(f"node_{k}") for k, c in counts.items()])
+
+    def smoothed(bad: Column, labelled: Column, towards: Column) -> Column:
+        return (bad + strength * towards) / (labelled + strength)
+
+    purity = nodes(tree).select("host", "node", smoothed(F.col("node_bad"), F.col("node_labelled"), F.lit(prior)).alias("p"))
+    tree = materialize(tree.join(purity, ["host", "node"]))
     for level in range(depth):
         here = F.when(F.lit(level) == depth - 1, F.array_join(F.slice("segments", level + 1, F.greatest(F.size("segments"), F.lit(1))), "/")).otherwise(F.try_element_at("segments", F.lit(level + 1)))
         tree = tree.withColumn("segment", F.coalesce(here, F.lit("")))
-        siblings, child = Window.partitionBy("host", "node"), Window.partitionBy("host", "node", "segment")
-        tree = tree.withColumns({
-            "all_n": F.sum("n").over(siblings), "kinds": F.approx_count_distinct("segment").over(siblings),
-            "labels": F.sum("labelled").over(child), "blocks": F.sum("bad").over(child),
-        })
-        pooled = F.when(F.col("node_labelled") > 0, F.col("node_bad") / F.col("node_labelled")).otherwise(F.lit(0.0))
-        error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.01)) / F.greatest(F.col("labels"), F.lit(1)))
-        alike = (F.col("labels") == 0) | (F.abs(F.col("blocks") / F.greatest(F.col("labels"), F.lit(1)) - pooled) <= z * error)
-        wild = (F.col("kinds") >= distinct) & (F.col("kinds") >= ratio * F.col("all_n"))
-        token = F.when(F.col("segment") == "", "").when(wild, "<any>").when(alike & (F.col("kinds") > 1), "<alike>").otherwise(F.col("segment"))
-        tree = tree.withColumn("node", F.when(token == "", F.col("node")).otherwise(F.concat("node", F.lit("/"), token)))
-        ended = F.col("segment") == ""
-        was = tree.withColumn("was", F.col("p"))
-        tree = settle(was).withColumn("p", F.when(ended, F.col("was")).otherwise(F.col("p")))
-        tree = materialize(tree.select("host", "shape", "n", "labelled", "bad", "p", "segments", "node", "node_bad", "node_labelled"))
+        open_ = tree.where("segment <> ''")
+        if open_.isEmpty():
+            break
+        children = open_.groupBy("host", "node", "segment").agg(*[c.alias(k) for k, c in counts.items()])
+        tokens = materialize(branches(children, distinct, ratio, z))
+        grown = open_.join(tokens, ["host", "node", "segment"]).withColumn("node", F.concat("node", F.lit("/"), "token")).drop("token")
+        grown = materialize(grown)
+        of_node = nodes(grown)
+        grown = grown.join(of_node, ["host", "node"]).withColumn("p", smoothed(F.col("node_bad"), F.col("node_labelled"), F.col("p")))
+        tree = materialize(grown.select(*tree.columns).union(tree.where("segment = ''")).drop("segment"))
     judged = rows.join(tree.select("host", "shape", F.col("node").alias("template"), F.col("p").alias("purity")), ["host", "shape"], "left")
     verdict = F.coalesce("ruled", F.when(F.col("purity") > threshold, "block").otherwise("allow"))
     return judged.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 
 
+def branches(children: DataFrame, distinct: int, ratio: float, z: float) -> DataFrame:
+    """(host, node, segment) with the token of its branch, from (host, node, segment, n, labelled, bad): ``<any>``, ``<new>`` (no labels), ``<k>`` (several
+    alike, numbered by purity) or the segment itself."""
+    children = materialize(children)
+    node = ["host", "node"]
+    facts = children.groupBy(*node).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("pages"))
+    wild = facts.where((F.col("kinds") >= distinct) & (F.col("kinds") >= ratio * F.col("pages"))).select(*node, F.lit(True).alias("wild"))
+    # children with equal counts are alike, so what is put in order are distinct counts
+    profiles = children.where("labelled > 0").groupBy(*node, "labelled", "bad").agg(F.count(F.lit(1)).alias("m"))
+    profiles = profiles.withColumns({"n_": F.col("m") * F.col("labelled"), "k_": F.col("m") * F.col("bad")})
+    order = Window.partitionBy(*node).orderBy(F.col("bad") / F.col("labelled"), "labelled")
+    n0, k0 = F.lag("n_").over(order), F.lag("k_").over(order)
+    pooled = (F.col("k_") + k0) / (F.col("n_") + n0)
+    error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(0.01)) * (1 / F.col("n_") + 1 / n0))
+    differs = n0.isNotNull() & (F.abs(F.col("k_") / F.col("n_") - k0 / n0) > z * error)
+    profiles = profiles.withColumn("differs", differs.cast("int"))
+    profiles = materialize(profiles.withColumn("branch", F.sum("differs").over(order.rowsBetween(Window.unboundedPreceding, 0))).select(*node, "labelled", "bad", "m", "branch"))
+    several = profiles.groupBy(*node, "branch").agg(F.sum("m").alias("members"))
+    named = profiles.join(several, [*node, "branch"]).select(*node, "labelled", "bad", F.when(F.col("members") > 1, F.concat(F.lit("<"), F.col("branch").cast("string"), F.lit(">"))).alias("branch"))
+    out = children.join(wild, node, "left").join(named, [*node, "labelled", "bad"], "left")
+    token = F.when(F.col("wild"), "<any>").when(F.col("labelled") == 0, "<new>").otherwise(F.coalesce("branch", "segment"))
+    return out.select(*node, "segment", token.alias("token"))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judges every url of ``pages``."""
     return url_verdicts(table(spark, sf_dir, "pages"))

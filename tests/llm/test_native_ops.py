@@ -248,6 +248,49 @@ def test_url_tree_rejects_blocked_templates_and_merges_like_ones(spark):
     assert url_filter.url_verdicts(none).count() == 0
 
 
+def test_branches_merge_with_each_other_where_labels_agree(spark):
+    """a and b are blocked alike, c and d allowed alike, e half and half, f and g unlabelled: compared with each other, not with the pool of all."""
+    rows = [("h", "", s, 50, n, k) for s, n, k in (("a", 40, 39), ("b", 40, 40), ("c", 40, 1), ("d", 30, 0), ("e", 40, 20), ("f", 0, 0), ("g", 0, 0))] + [("i", "", "only", 5, 5, 5)]
+    children = spark.createDataFrame(rows, "host string, node string, segment string, n long, labelled long, bad long")
+    token = {(r.host, r.segment): r.token for r in url_filter.branches(children, 20, 0.5, 1.96).collect()}
+    h = {s: t for (host, s), t in token.items() if host == "h"}
+    assert h["a"] == h["b"] and h["c"] == h["d"] and h["f"] == h["g"] == "<new>" and len({h["a"], h["c"], h["e"], h["f"]}) == 4 and h["e"] == "e" and token["i", "only"] == "only"
+    many = spark.createDataFrame([("h", "", f"s{i}", 1, 0, 0) for i in range(30)], children.schema)
+    assert {r.token for r in url_filter.branches(many, 20, 0.5, 1.96).collect()} == {"<any>"}
+
+
+def brute_branch_purity(urls, rules, threshold=0.5, strength=5.0):
+    """Verdicts of one host's pages under its first segment alone, by counting."""
+    labels = {u: (brute_rule_of(rules, *brute_url(u)) or None) for u in urls}
+    known = [r.verdict == "block" for r in labels.values() if r]
+    p = (sum(known) + 1) / (len(known) + 2)
+    host = (sum(known) + strength * p) / (len(known) + strength)
+    out = {}
+    for u in urls:
+        mine = [labels[v].verdict == "block" for v in urls if labels[v] and brute_url(v)[1].split("/")[1] == brute_url(u)[1].split("/")[1]]
+        out[u] = labels[u].verdict if labels[u] else "block" if (sum(mine) + strength * host) / (len(mine) + strength) > threshold else "allow"
+    return out
+
+
+def brute_rule_of(rules, host, path):
+    return max((r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)), key=lambda r: len(r.name), default=None)
+
+
+def test_verdicts_of_one_level_match_brute_force(spark):
+    rng = random.Random(6)
+    rules = (url_filter.Rule("block", "h.com", "/a"), url_filter.Rule("block", "h.com", "/bad-1"), url_filter.Rule("allow", "h.com", "/good-1"), url_filter.Rule("allow", "h.com", "/ab"))
+    urls = [f"http://h.com/{rng.choice(['aa', 'ab', 'bad-1', 'bad-2', 'good-1', 'new', 'ac'])}" for _ in range(120)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = brute_branch_purity(urls, rules)
+    assert all(r.verdict == want[urls[r.page_id]] for r in url_filter.url_verdicts(pages, rules, depth=1).collect())
+
+
+def test_url_filters_use_no_python_and_no_window_over_pages(spark, sf, capsys):
+    url_filter.url_verdicts(common.table(spark, sf, "pages")).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Python" not in plan and "Window" not in plan and "NestedLoop" not in plan
+
+
 def test_materialized_tables_can_be_released(spark):
     df = common.materialize(spark.range(5).toDF("x"))
     assert df.count() == 5
