@@ -47,6 +47,18 @@ def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_by(df: DataFrame, col: str, size: int, per_bucket: int = 128 << 20) -> DataFrame:
+    """As ``materialize``, bucketed by a column: joins on it then shuffle only the other side. ``size``: bytes, about; a bucket holds ``per_bucket``."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // per_bucket))
+    name = f"compliq_{uuid.uuid4().hex}"
+    df.repartition(n, col).write.bucketBy(n, col).option("path", "/".join([_own_folder(spark), *_SCRATCHES, name])).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved, so that the files are known when the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is materialized inside, and not kept, is deleted at the end; nothing that reads it may be used after that."""

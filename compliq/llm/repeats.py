@@ -16,12 +16,13 @@ identifiers are used again for the next, longer step. Three things make it fit a
   of the bytes that any of them covers (double: all are repeated). Only blocks between the two go down to single windows.
   Each kind counts once at every step, however many copies it has.
 
-Texts are needed again at three steps. They are joined to what is asked of them, compressed, and only those that a Bloom filter of
-bounded size lets through; a full filter lets more through and changes nothing else.
+Texts are shuffled once, into a table bucketed by their row's hash. Later steps bring what they ask of a text to its bucket, so texts that are
+not asked for are neither moved nor seen by Python.
 
 Two strings are taken for equal if 64-bit identifiers agree in the same bucket, itself a 64-bit identifier.
 
-Defined results: null text counts as empty; texts shorter than ``length`` lose nothing; rows that repeat id and text each lose what the other repeats;
+Defined results: null text counts as empty; texts shorter than ``length`` lose nothing; rows that repeat id and text each lose what the other repeats; null and
+repeated ids are told apart by their texts; of equal least q-grams in a window the leftmost counts, everywhere alike;
 an empty table gives an empty result; other columns are ignored. Texts of any length are read whole.
 """
 
@@ -35,11 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from compliq.llm.common import materialize, table, text_of
+from compliq.llm.common import materialize, scratch, store_by, table, text_of
 
-Q, LONG, BLOCK = 32, 128, 16
-#: Words of 64 bits of a Bloom filter, at most (8 MB), and its hashes.
-BLOOM_WORDS, HASHES = 1 << 20, 4
+Q, BLOCK = 32, 16
 #: Bytes handled at once; positions in a piece take 24 bits.
 PIECE = 1 << 19
 #: Rows of a batch handled at once.
@@ -74,6 +73,21 @@ def identifiers(data: bytes, *lengths: int) -> list[np.ndarray]:
     return out
 
 
+def unit(length: int) -> int:
+    """Bytes of the identifiers from which those of windows, blocks and stretches are made: the most that a block's shared bytes hold."""
+    if not Q + BLOCK <= length < PIECE:
+        raise ValueError(f"length must be {Q + BLOCK} to {PIECE - 1}")
+    return 8 << ((length - BLOCK + 1) // 8).bit_length() - 1
+
+
+def cover(long: np.ndarray, begin: np.ndarray, n: np.ndarray | int, most: int, size: int) -> np.ndarray:
+    """Identifiers of n bytes (``size`` to ``most``) from begin, from those of ``size`` bytes."""
+    h, tail = long[begin], begin + n - size
+    for k in range(1, -(-most // size)):
+        h = _step(h, long[np.minimum(begin + k * size, tail)])
+    return h
+
+
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     pad = np.full(-len(x) % w, np.uint64(0xFFFFFFFFFFFFFFFF))
     blocks = np.concatenate([x, pad]).reshape(-1, w)
@@ -111,7 +125,8 @@ def _suffixes(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.nda
     lens = np.array([len(p[2]) for p in pieces])
     ends = np.cumsum(lens)
     begins = ends - lens
-    short, long = identifiers(data, Q, LONG)
+    size = unit(length)
+    short, long = identifiers(data, Q, size)
     least = _sliding_min((short & ~_LOW) | np.arange(len(short), dtype=np.uint64), length - Q + 1)
     edge = np.zeros(len(data) + 2, np.int32)
     np.add.at(edge, begins, 1)
@@ -123,9 +138,8 @@ def _suffixes(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.nda
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     lo, hi, at = starts[first], starts[last], at[first]
-    tail = hi + length - LONG
-    stretch = _step(_step(long[lo], long[np.minimum(lo + LONG - 8, tail)]), long[tail])
-    stretch = _step(stretch, ((at - lo) * 4096 + (hi - lo)).astype(np.uint64))
+    stretch = cover(long, lo, hi - lo + length, 2 * length - Q, size)
+    stretch = _step(_step(stretch, (at - lo).astype(np.uint64)), (hi - lo).astype(np.uint64))
     piece = np.searchsorted(ends, lo, side="right")
     shift = np.array([p[1] for p in pieces])[piece] - begins[piece]
     return np.array([p[0] for p in pieces])[piece], lo + shift, hi + shift, at + shift, short[at].view(np.int64), stretch.view(np.int64)
@@ -133,7 +147,8 @@ def _suffixes(pieces: list[tuple[int, int, bytes]], length: int) -> tuple[np.nda
 
 def blocks(text: bytes, asked: list[dict], length: int = 200) -> list[np.ndarray]:
     """Of the blocks of windows of the suffixes asked for, each once: suffix, block, copies, identifier of the shared bytes, of all bytes, and whether all windows are inside the text."""
-    (long,) = identifiers(text, LONG)
+    size = unit(length)
+    (long,) = identifiers(text, size)
     most: dict[tuple[int, int], tuple[int, int]] = {}
     for q in asked:
         for j in range((q["at"] - q["hi"]) // BLOCK, (q["at"] - q["lo"]) // BLOCK + 1):
@@ -143,10 +158,9 @@ def blocks(text: bytes, asked: list[dict], length: int = 200) -> list[np.ndarray
     last = at - BLOCK * j
     first = last - BLOCK + 1
     tag = (bucket.view(np.uint64) ^ (j.astype(np.uint64) * _B)) * _A
-    shared = _step(_step(long[last], long[first + length - LONG]), tag)
+    shared = _step(cover(long, last, length - BLOCK + 1, length - BLOCK + 1, size), tag)
     whole = (first >= 0) & (last + length <= len(text))
-    lo, hi = np.where(whole, first, 0), np.where(whole, last + length - LONG, 0)
-    every = _step(_step(long[lo], long[hi]), tag)
+    every = _step(cover(long, np.where(whole, first, 0), np.where(whole, length + BLOCK - 1, size), length + BLOCK - 1, size), tag)
     return [at, j, m, shared.view(np.int64), every.view(np.int64), whole]
 
 
@@ -154,9 +168,9 @@ def windows(text: bytes, at: int, j: int, length: int = 200) -> tuple[np.ndarray
     """Starts and identifiers of the windows of a block that are inside the text; in an identifier goes the distance to the suffix, since near periodic text a window lies under two suffixes of a bucket."""
     last = at - BLOCK * j
     begin = np.arange(max(last - BLOCK + 1, 0), min(last, len(text) - length) + 1)
-    (long,) = identifiers(text[begin[0] : begin[-1] + length], LONG)
-    k = begin - begin[0]
-    return begin, _step(_step(long[k], long[k + length - LONG]), (at - begin).astype(np.uint64)).view(np.int64)
+    size = unit(length)
+    (long,) = identifiers(text[begin[0] : begin[-1] + length], size)
+    return begin, _step(cover(long, begin - begin[0], length, length, size), (at - begin).astype(np.uint64)).view(np.int64)
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -170,11 +184,6 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _check_length(length: int) -> None:
-    if not LONG + BLOCK <= length <= 2 * LONG - BLOCK:
-        raise ValueError(f"length must be {LONG + BLOCK} to {2 * LONG - BLOCK}")
-
-
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in small slices, so that Python objects are made for few rows at a time."""
     for b in batches:
@@ -182,38 +191,21 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(i, ROWS)
 
 
-class Bloom:
-    """A filter over (id, key) rows: built as bit words by an aggregate, of bounded size whatever the number of rows."""
-
-    def __init__(self, rows: DataFrame):
-        n = rows.count()
-        self.words = min(BLOOM_WORDS, 1 << max(4, (n * 10 // 64).bit_length()))
-        h = F.xxhash64("id", "key")
-        places = [F.pmod(h.bitwiseAND(F.lit(0xFFFFFFFF)) + F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1)) * k, F.lit(self.words * 64)) for k in range(HASHES)]
-        bits = rows.select(F.explode(F.array(*places)).alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
-        found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most BLOOM_WORDS rows
-        self.bits = np.zeros(self.words, np.int64)
-        self.bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+_SPANS = "array<struct<begin:int,end:int>>"
 
-    def contains(self, h: np.ndarray) -> np.ndarray:
-        a, b = h & 0xFFFFFFFF, ((h >> 32) & 0xFFFFFFFF) | 1
-        out = np.ones(len(h), bool)
-        for k in range(HASHES):
-            p = (a + b * k) % (self.words * 64)
-            out &= (self.bits[p >> 6] >> (p & 63)) & 1 == 1
-        return out
 
-
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
-    """One row per input row: id, text (binary), spans array<struct<begin, end>>: the maximal runs of bytes to remove."""
-    _check_length(length)
+def _spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """(id, text, spans) of the rows with something to remove, and (id, text) of the others."""
+    unit(length)
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_of(docs, text_col)
-    unique = docs.groupBy(docs[id_col].alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").isEmpty()
+    each = docs.groupBy(docs[id_col].alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("bytes"))
+    repeats, size = each.agg(F.count_if("n > 1 or id is null"), F.sum("bytes")).first()
     # ids tell rows apart; where they do not, a hash of the text helps
-    key = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    key = F.xxhash64(text) if repeats else F.lit(0).cast("long")
     rows = docs.select(docs[id_col].alias("id"), key.alias("key"), text.cast("binary").alias("text"))
+    texts = store_by(rows.withColumn("h", F.xxhash64("id", "key")), "h", size or 0)
     shape = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,28 +214,16 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             i = pa.array(i)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(stretch), b.column("id").take(i), b.column("key").take(i), *[pa.array(x, pa.int32()) for x in (lo, hi, at)]], names=["bucket", "stretch", "id", "key", "lo", "hi", "at"])
 
-    def pack(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in parts(batches):
-                b = b.filter(pa.array(shared.value.contains(b.column("h").to_numpy(zero_copy_only=False).astype(np.int64))))
-                z = pa.array([pa.compress(x.as_py(), codec="zstd", asbytes=True) for x in b.column("text")], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), b.column("n"), z], names=["id", "key", "n", "z"])
-
-        return run
-
-    def unpack(z: bytes, n: int) -> bytes:
-        return pa.decompress(z, n, codec="zstd", asbytes=True) if n else b""
-
-    def texts_for(asked: DataFrame, shared) -> DataFrame:
-        """The texts, compressed, of the rows of ``asked``: (id, key, n, z) and what is asked."""
-        hashed = rows.select("*", F.length("text").cast("long").alias("n"), F.xxhash64("id", "key").alias("h"))
-        packed = hashed.mapInArrow(pack(shared), f"id {kind}, key long, n long, z binary")
-        return asked.join(packed, asked["id"].eqNullSafe(packed["id"]) & (asked["key"] == packed["key"])).select(asked["id"], asked["key"], "n", "z", *[c for c in asked.columns if c not in ("id", "key")])
+    def at_texts(asked: DataFrame, how: str = "inner") -> DataFrame:
+        """The texts of the rows of ``asked`` (one row a text), which comes to where they are."""
+        asked = asked.withColumnsRenamed({"id": "_id", "key": "_key"}).withColumn("_h", F.xxhash64("_id", "_key"))
+        on = (texts["h"] == asked["_h"]) & (texts["key"] == asked["_key"]) & texts["id"].eqNullSafe(asked["_id"])
+        return texts.join(asked.hint("shuffle_hash"), on, how)
 
     def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
             for k in range(b.num_rows):
-                at, j, m, shared, every, whole = blocks(unpack(b.column("z")[k].as_py(), b.column("n")[k].as_py()), b.column("asked")[k].as_py(), length)
+                at, j, m, shared, every, whole = blocks(b.column("text")[k].as_py(), b.column("asked")[k].as_py(), length)
                 mine = pa.array(np.full(len(at), k))
                 cols = [b.column("id").take(mine), b.column("key").take(mine), pa.array(at, pa.int32()), pa.array(j, pa.int32()), pa.array(m), pa.array(shared), pa.array(every, mask=~whole)]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "at", "j", "m", "shared", "every"])
@@ -251,7 +231,7 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def in_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
             for k in range(b.num_rows):
-                data = unpack(b.column("z")[k].as_py(), b.column("n")[k].as_py())
+                data = b.column("text")[k].as_py()
                 for q in b.column("asked")[k].as_py():
                     begin, w = windows(data, q["at"], q["j"], length)
                     mine, same = pa.array(np.full(len(w), k)), lambda x, w=w: pa.array(np.full(len(w), x))
@@ -259,33 +239,24 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            text = [unpack(z.as_py(), n.as_py()) for z, n in zip(b.column("z"), b.column("n"), strict=True)]
             cut = [[{"begin": x, "end": y} for x, y in merge([(x["begin"], x["end"]) for x in s.as_py()])] for s in b.column("spans")]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(text, pa.binary()), pa.array(cut, shape)], names=["id", "text", "spans"])
-
-    def untouched(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in parts(batches):
-                b = b.filter(pa.array(~shared.value.contains(b.column("h").to_numpy(zero_copy_only=False).astype(np.int64))))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array([[]] * b.num_rows, shape)], names=["id", "text", "spans"])
-
-        return run
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array(cut, shape)], names=["id", "text", "spans"])
 
     def repeated(df: DataFrame, *by: str) -> DataFrame:
         return materialize(df.groupBy(*by).agg(F.sum("m").alias("t")).where("t > 1").select(*by))
 
-    bloom = lambda asked: spark.sparkContext.broadcast(Bloom(asked))  # noqa: E731  of bounded size
-    every = rows.mapInArrow(sample, f"bucket long, stretch long, id {kind}, key long, lo int, hi int, at int")
-    # buckets with one row are final
-    shared = repeated(every.select("bucket", F.lit(1).alias("m")), "bucket")
-    kept = materialize(every.join(shared, "bucket"))
+    with scratch(spark):
+        every = materialize(texts.select("id", "key", "text").mapInArrow(sample, f"bucket long, stretch long, id {kind}, key long, lo int, hi int, at int"))
+        # buckets with one row are final
+        shared = repeated(every.select("bucket", F.lit(1).alias("m")), "bucket")
+        kept = materialize(every.join(shared, "bucket"), keep=True)
     # refined by the identifiers over the whole stretch; any row stands for its like
     kinds = materialize(kept.groupBy("bucket", "stretch").agg(F.count(F.lit(1)).alias("m"), *[F.first(c).alias(c) for c in ("id", "key", "lo", "hi", "at")]))
     mixed = materialize(kinds.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.min("m").alias("least")).where("k > 1 and least = 1").select("bucket"))
     whole = kept.join(materialize(kinds.where("m > 1").select("bucket", "stretch")), ["bucket", "stretch"]).select("id", "key", F.col("lo").alias("begin"), (F.col("hi") + length).alias("end"))
     # what is single in a mixed bucket is refined in blocks of windows
-    asked = materialize(kinds.join(mixed, "bucket").groupBy("id", "key").agg(F.collect_list(F.struct("bucket", "m", "lo", "hi", "at")).alias("asked")))  # bounded by the text
-    made = materialize(texts_for(asked, bloom(asked)).mapInArrow(in_blocks, f"id {kind}, key long, at int, j int, m long, shared long, every long"))
+    asked = kinds.join(mixed, "bucket").groupBy("id", "key").agg(F.collect_list(F.struct("bucket", "m", "lo", "hi", "at")).alias("asked"))  # bounded by the text
+    made = materialize(at_texts(asked).select("id", "key", "text", "asked").mapInArrow(in_blocks, f"id {kind}, key long, at int, j int, m long, shared long, every long"))
     live = materialize(made.join(repeated(made, "shared"), "shared"))
     double = repeated(live.where("every is not null"), "every").withColumn("all", F.lit(True))
     live = materialize(live.join(double, "every", "left"))
@@ -296,18 +267,19 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     near = materialize(live.join(unsettled, "shared"))
     one_each = near.where("every is not null").groupBy("shared", "every").agg(F.sum("m").alias("m"), *[F.first(c).alias(c) for c in ("id", "key", "at", "j")]).drop("every")
     others = near.where("every is null").select(*one_each.columns)
-    asked = materialize(one_each.union(others).groupBy("id", "key").agg(F.collect_list(F.struct("shared", "m", "at", "j")).alias("asked")))
-    lone = materialize(texts_for(asked, bloom(asked)).mapInArrow(in_windows, f"shared long, window long, m long, id {kind}, key long, begin int"))
+    asked = one_each.union(others).groupBy("id", "key").agg(F.collect_list(F.struct("shared", "m", "at", "j")).alias("asked"))
+    lone = materialize(at_texts(asked).select("id", "key", "text", "asked").mapInArrow(in_windows, f"shared long, window long, m long, id {kind}, key long, begin int"))
     part = lone.where("m = 1").join(repeated(lone, "shared", "window"), ["shared", "window"]).select("id", "key", "begin", (F.col("begin") + length).alias("end"))
     spans = whole.union(in_full).union(part).groupBy("id", "key").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))  # bounded by the text
     spans = materialize(spans)
-    filtered = bloom(spans)
-    out = f"id {kind}, text binary, spans array<struct<begin:int,end:int>>"
-    hashed = rows.select("*", F.xxhash64("id", "key").alias("h"))
-    # a text that the filter stops has no spans; of those that it lets through, some have none either
-    through = rows.withColumns({"n": F.length("text").cast("long"), "h": F.xxhash64("id", "key")}).mapInArrow(pack(filtered), f"id {kind}, key long, n long, z binary")
-    both = through.join(spans, through["id"].eqNullSafe(spans["id"]) & (through["key"] == spans["key"]), "left").select(through["id"], "n", "z", F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int>>")).alias("spans"))
-    return both.mapInArrow(give, out).union(hashed.mapInArrow(untouched(filtered), out)).withColumnRenamed("id", id_col)
+    some = at_texts(spans).select("id", "text", "spans").mapInArrow(give, f"id {kind}, text binary, spans {_SPANS}")
+    return some, at_texts(spans.select("id", "key"), "left_anti").select("id", "text")
+
+
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 200) -> DataFrame:
+    """One row per input row: id, text (binary), spans array<struct<begin, end>>: the maximal runs of bytes to remove."""
+    some, others = _spans(docs, id_col, text_col, length)
+    return some.union(others.select("id", "text", F.array().cast(_SPANS).alias("spans"))).withColumnRenamed("id", id_col)
 
 
 def cut(text: bytes, spans: list[dict]) -> bytes:
@@ -329,8 +301,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             cols = [[n for n, _, _ in out], removed, [len(s) for _, s, _ in out]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols], pa.array([h for _, _, h in out], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    spans = repeated_spans(table(spark, sf_dir, "documents"))
-    return spans.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    some, others = _spans(table(spark, sf_dir, "documents"), "doc_id", "text", 200)
+    none = F.lit(0).cast("long")
+    whole = others.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    return some.withColumnRenamed("id", "doc_id").mapInArrow(digest, whole.schema).union(whole)
 
 
 SQL: dict[str, str] = {}

@@ -109,6 +109,31 @@ def test_offending_sentences_are_found():
     assert toxicity.noisy_or([0.5, 0.5]) == 0.75 and toxicity.noisy_or([]) == 0.0
 
 
+def test_training_on_executors_is_the_fit_at_hand(spark, sf):
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    rows = docs.join(labels.where("toxic is not null"), "doc_id").select("text", "toxic").collect()
+    want = toxicity.fit([r.text or "" for r in rows], np.array([r.toxic for r in rows]))["weights"]
+    got = toxicity.train(docs, labels)["weights"]
+    assert got.keys() == want.keys() and want and all(abs(got[f] - want[f]) < 1e-6 for f in want)
+    again = toxicity.train(docs.repartition(5, "text"), labels)["weights"]
+    assert again == got
+    less = toxicity.train(docs, labels, hits=20)["weights"]
+    assert less != got
+
+
+def test_noisy_or_is_maximised_as_by_brute_force():
+    """One feature marks all offending sentences: its weight makes toxic documents likely and, alone among others, must win."""
+    rng = np.random.default_rng(1)
+    bags, y = [], []
+    for d in range(400):
+        toxic = d % 2
+        bags.append([((1,), int(rng.integers(1, 4))), *([((0,), 1)] if toxic else [])])
+        y.append(toxic)
+    w = toxicity.descend(bags, np.array(y), 2, 200, 200)
+    loss = lambda a, b: -np.mean([np.log(max(q if t else 1 - q, 1e-12)) for bg, t in zip(bags, y, strict=True) for q in [1 - np.prod([(1 - 1 / (1 + np.exp(-(toxicity.BIAS + (a if h == (0,) else b))))) ** n for h, n in bg])]])
+    assert w[0] > 4 and w[1] < 0.5 and loss(*w) < loss(w[0], w[1] + 1) and loss(*w) < loss(w[0] - 2, w[1])
+
+
 def test_toxicity_of_awkward_rows(spark):
     docs = awkward(spark)
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (5, None), (None, 1), (6, 0)], "doc_id long, toxic int")

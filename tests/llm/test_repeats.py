@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from compliq.llm import common, repeats
 from tests.llm.helpers import awkward, documents, empty
@@ -10,7 +11,7 @@ from tests.llm.helpers import awkward, documents, empty
 L = 200
 
 
-def brute(texts):
+def brute(texts, L=L):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[p : p + L] for d in data for p in range(len(d) - L + 1))
     out = []
@@ -25,17 +26,17 @@ def brute(texts):
     return out
 
 
-def run(docs):
+def run(docs, L=L):
     out = []
-    for r in repeats.repeated_spans(docs).collect():
+    for r in repeats.repeated_spans(docs, length=L).collect():
         spans = [s.asDict() for s in r.spans]
         out.append((r.doc_id, len(r.text), sum(s["end"] - s["begin"] for s in spans), len(spans), hashlib.sha256(repeats.cut(bytes(r.text), spans)).hexdigest()))
     return sorted(out, key=str)
 
 
-def check(docs):
+def check(docs, L=L):
     rows = docs.collect()
-    assert run(docs) == sorted([(r.doc_id, *b) for r, b in zip(rows, brute([r.text for r in rows]))], key=str)
+    assert run(docs, L) == sorted([(r.doc_id, *b) for r, b in zip(rows, brute([r.text for r in rows], L))], key=str)
 
 
 def test_identifiers_follow_content():
@@ -77,11 +78,28 @@ def test_long_texts_are_cut_in_pieces(monkeypatch):
     assert sorted(zip(lo[i == 0], bucket[i == 0], stretch[i == 0])) == sorted(zip(lo[i == 3], bucket[i == 3], stretch[i == 3]))
 
 
-def test_a_full_filter_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "BLOOM_WORDS", 16)
+@pytest.mark.parametrize("length", [48, 79, 143, 255, 400])
+def test_other_lengths(spark, length):
     rng = random.Random(8)
-    base = "".join(rng.choice("abcd ") for _ in range(900))
-    check(documents(spark, [(i, base[rng.randrange(300) :][: rng.randrange(150, 600)] + str(i) * rng.randrange(3)) for i in range(150)]))
+    base = "".join(rng.choice("abcd ") for _ in range(1500))
+    check(documents(spark, [(i, base[rng.randrange(500) :][: rng.randrange(30, 900)] + str(i) * rng.randrange(3)) for i in range(60)]), length)
+
+
+def test_units_fit_lengths():
+    for length in range(48, 2000):
+        size = repeats.unit(length)
+        assert 32 <= size <= length - repeats.BLOCK + 1 < 2 * size
+    for length in (47, repeats.PIECE):
+        with pytest.raises(ValueError):
+            repeats.unit(length)
+
+
+def test_the_query_is_the_brute_force_over_a_table(spark, tmp_path):
+    """The query's two ways, of texts that lose something and of those that do not."""
+    rows = [(r.doc_id, r.text) for r in common.table(spark, "/root/testdata/sf0.001", "documents").where("doc_id % 3 = 0").collect()] + [(9001, None), (9002, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in repeats.op1_suffix_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows]))], key=str)
 
 
 def test_awkward_and_empty(spark):
