@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from compliq.plans import detail, native
-from compliq.plans.spec import SEVERITIES, STATUSES, Requirement, Specification, load
+from compliq.plans.spec import SEVERITIES, STATUSES, Requirement, Specification, load, load_yaml, validate
 
 RESULT = "struct<ord:int,requirement_id:string,checker:string,severity:string,kind:string,weight:double,status:string,expected:string,actual:string,n:bigint,confidence:double>"
 FULL = (
@@ -122,6 +122,21 @@ def audit_in_detail(docs: DataFrame, spec: Any, registry: dict | None = None, ve
     return docs.mapInArrow(run, FULL)
 
 
+def validate_table(specs: DataFrame, id_col: str = "doc_id", text_col: str = "spec") -> DataFrame:
+    """A table of specifications in YAML to one row per issue: doc_id, ord, level, path, message."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                data, issues = load_yaml(text or "")
+                rows += [(i, k, x.level, x.path, x.message) for k, x in enumerate(issues or validate(data)[1])]
+            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "ord", "level", "path", "message"])
+
+    return specs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).cast("string").alias("spec")).mapInArrow(run, "doc_id string, ord int, level string, path string, message string")
+
+
 # -- scores: functions of the array of results ----------------------------------------------------
 
 

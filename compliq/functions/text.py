@@ -80,20 +80,13 @@ def heading_key_col(text: Column, fold: bool = True) -> Column:
 
 
 def flat(text: Column) -> Column:
-    return F.translate(text, "\n", " ")
+    return F.replace(text, F.lit("\n"), F.lit(" "))
 
 
 def counted_col(n: Column, one: str, many: str | None = None) -> Column:
     return F.concat(F.format_number(n, 0), F.when(n == 1, F.lit(" " + one)).otherwise(F.lit(" " + (many or one + "s"))))
 
 
-def excerpt_col(text: Column, start: Column, length: Column, width: int = 40) -> Column:
-    """``start`` counts from 0."""
-    a = F.greatest(start - width, F.lit(0))
-    b = F.least(start + length + width, F.char_length(text))
-    return F.concat(F.when(a > 0, "…").otherwise(""), collapsed(F.substr(text, a + 1, b - a)), F.when(b < F.char_length(text), "…").otherwise(""))
-
-
 # -- literals -------------------------------------------------------------------------------------
 
 

@@ -44,6 +44,10 @@ class Facts:
     def units(self, blocks: Column, scope: dict | None = None) -> Column:
         return self.add(0, units(blocks, scope), repr(scope))
 
+    def lines(self, blocks: Column, scope: dict | None = None) -> Column:
+        """The texts of the units, each on one line."""
+        return self.add(0, F.transform(units(blocks, scope), lambda u: flat(u["text"])), "lines " + repr(scope))
+
 
 def has_text(b: Column) -> Column:
     return b["text"].rlike(U + r"\S")
@@ -67,9 +71,13 @@ def total(units_: Column, of: Callable[[Column], Column]) -> Column:
     return F.aggregate(units_, F.lit(0).cast("bigint"), lambda a, u: a + of(u).cast("bigint"))
 
 
-def found(units_: Column, pattern: str) -> Column:
-    """All matches in the units, in order, as an array of texts."""
-    return F.flatten(F.transform(units_, lambda u: F.regexp_extract_all(flat(u["text"]), F.lit(pattern), F.lit(0))))
+def found(lines: Column, pattern: str) -> Column:
+    """All matches in the lines, in order, as an array of texts."""
+    return F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(pattern), F.lit(0))))
+
+
+def times(lines: Column, pattern: str) -> Column:
+    return total(lines, lambda x: F.regexp_count(x, F.lit(pattern)))
 
 
 def norm_literal(text: Column, case: bool) -> Column:
@@ -122,17 +130,17 @@ def _words(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
 
 
 def _forbidden(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
-    n = facts.add(1, total(facts.units(b, c["scope"]), lambda u: F.regexp_count(flat(u["text"]), F.lit(java(literal_pattern(c["values"], c["whole"]), c["case"])))))
+    n = facts.add(1, times(facts.lines(b, c["scope"]), java(literal_pattern(c["values"], c["whole"]), c["case"])))
     return verdict(n == 0, f"None of: {quoted(c['values'])}", counted_col(n, "occurrence"), n)
 
 
 def _required(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
-    inside = facts.units(b, c["scope"])
+    lines = facts.lines(b, c["scope"])
     if c["within"] != "document":
         body = facts.add(0, F.filter(b, lambda x: (x["kind"] == "paragraph") & ~x["candidate"] & has_text(x)), "body")
         target = F.try_element_at(body, F.lit(1 if c["within"] == "first_paragraph" else -1))["position"]
-        inside = F.filter(inside, lambda u: (u["position"] == target) & (u["kind"] == "paragraph"))
-    hits = facts.add(1, found(inside, java(literal_pattern(c["values"], c["whole"]), c["case"])))
+        lines = F.transform(F.filter(facts.units(b, c["scope"]), lambda u: (u["position"] == target) & (u["kind"] == "paragraph")), lambda u: flat(u["text"]))
+    hits = facts.add(1, found(lines, java(literal_pattern(c["values"], c["whole"]), c["case"])))
     keys = facts.add(2, F.transform(hits, lambda m: norm_literal(m, c["case"])))
     counts = [facts.add(3, n) for n in value_counts(keys, c["values"], c["case"])]
     list_of = lambda test: F.array_join(F.array_compact(F.array(*[F.when(test(n), F.lit(f'"{v}"')) for v, n in zip(c["values"], counts, strict=True)])), ", ")
@@ -148,14 +156,14 @@ def _required(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
 
 
 def _punctuation(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
-    n = facts.add(1, total(facts.units(b, c["scope"]), lambda u: F.regexp_count(flat(u["text"]), F.lit(literal_pattern(c["values"], False)))))
+    n = facts.add(1, times(facts.lines(b, c["scope"]), literal_pattern(c["values"], False)))
     return verdict(n <= c["most"], f"{quoted(c['values'])}: {'at most ' + str(c['most']) if c['most'] else 'none'} allowed", counted_col(n, "occurrence"), n)
 
 
 def _occurrences(b: Column, c: dict, doc: dict, facts: Facts) -> Column | None:
     if c["text"] is None:
         return None
-    n = facts.add(1, total(facts.units(b, c["scope"]), lambda u: F.regexp_count(flat(u["text"]), F.lit(java(literal_pattern([c["text"]], c["whole"]), c["case"])))))
+    n = facts.add(1, times(facts.lines(b, c["scope"]), java(literal_pattern([c["text"]], c["whole"]), c["case"])))
     return _count_verdict(n, c["bounds"], "occurrences", f'"{c["text"]}": ', counted_col(n, "occurrence"))
 
 
@@ -244,10 +252,10 @@ def _preserve(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
 
 
 def _spelling(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
-    """Quoted spans are blanked first: forms are letters only, so a form is inside a span exactly if it goes with it."""
-    pattern = "(?i)" + lexicon.other_spellings(c["variant"])
+    """Words are runs of letters, looked up among the other variant's spellings; quoted spans are blanked first."""
     allowed = sorted({a.casefold() for a in c["allow"]})
-    hits = F.flatten(F.transform(facts.units(b, c["scope"]), lambda u: F.regexp_extract_all(F.regexp_replace(flat(u["text"]), '"[^"\n]+"|“[^”\n]+”', '"'), F.lit(pattern), F.lit(0))))
+    words = F.flatten(F.transform(facts.lines(b, c["scope"]), lambda x: F.regexp_extract_all(F.lower(F.regexp_replace(x, '"[^"\n]+"|“[^”\n]+”', '"')), F.lit("[a-z]+"), F.lit(0))))
+    hits = F.filter(words, lambda w: w.isin(lexicon.other_words(c["variant"])))
     hits = F.filter(hits, lambda h: ~F.lower(h).isin(allowed)) if allowed else hits
     n = facts.add(1, F.size(hits).cast("bigint"))
     other, name = ("American", "British") if c["variant"] == "british" else ("British", "American")

@@ -18,14 +18,18 @@ FORMATS = ("terminal", "json", "markdown", "sarif")
 PLACES_SHOWN, EVIDENCE_SHOWN, SARIF_PLACES, SARIF_EVIDENCE = 10, 12, 20, 5
 
 
+#: SARIF levels: by status where that decides, else by severity.
+BY_STATUS = {"ERROR": "error", "WARNING": "warning"}
+BY_SEVERITY = {"critical": "error", "major": "error", "minor": "warning", "info": "note"}
+
+
 def sarif_level(status: Column, severity: Column) -> Column:
-    return F.when(status == "WARNING", "warning").when((status == "ERROR") | severity.isin("critical", "major"), "error").when(severity == "minor", "warning").otherwise("note")
+    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    return F.coalesce(F.try_element_at(table(BY_STATUS), status), F.try_element_at(table(BY_SEVERITY), severity))
 
 
 def _level(e: dict) -> str:
-    if e["result"]["status"] in ("ERROR", "WARNING"):
-        return {"ERROR": "error", "WARNING": "warning"}[e["result"]["status"]]
-    return {"critical": "error", "major": "error", "minor": "warning", "info": "note"}[e["requirement"]["severity"]]
+    return BY_STATUS.get(e["result"]["status"]) or BY_SEVERITY[e["requirement"]["severity"]]
 
 
 def render(report: dict[str, Any], fmt: str, verbose: bool = False) -> str:

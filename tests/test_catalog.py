@@ -1,15 +1,15 @@
 """Every query against its SQL, and the relational operators on small tables."""
 
 import numbers
-import re
 
 import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from compliq import catalog
-from compliq.operators import instructions, structure
+from compliq import audit, catalog
+from compliq.operators import instructions
+from compliq.sources import documents
 from compliq.streaming import audits
 from tests.helpers import spec
 
@@ -46,65 +46,19 @@ def test_queries_without_sql(spark, sf):
         assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
-TURNS = [
-    (1, 0, "Keep the old files here.\nKeep the new files there\n\nask first"), (1, 1, "keep the  OLD files here!"), (1, 2, None), (2, 0, "Keep nothing at all\n1. *keep* the new files there"),
-    (2, 1, "Keep the new files\nRead it, then write 3 lines (or 4)"), (3, 5, "Keep"), (3, 6, ""),
-]
-
-
-def directives():
-    for conv, turn, text in TURNS:
-        for k, x in enumerate((text or "").split("\n")):
-            for again in (0, 1) if k % 3 < 2 and x.strip() else (0,) if x.strip() else ():
-                raw = "Always " + x if not again or k % 3 == 0 else "never " + x
-                yield re.sub(r"[.!]+$", "", re.sub(r"[\s`*_]+", " ", raw.lower().strip())), (conv, again, turn, k)
-
-
-def test_whole_lines_of_conversations_are_compared(spark, tmp_path):
-    spark.createDataFrame(TURNS, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    said = list(directives())
-    got = {(r.norm, (r.conv_id, r.again, r.turn, r.line)) for r in catalog.q_context_duplicate_lines(spark, str(tmp_path)).collect()}
-    assert got == {(n, at) for n, at in said if any(m == n and other < at for m, other in said)}
-    assert ("always keep the old files here", (1, 0, 1, 0)) in got and ("always keep", (3, 0, 5, 0)) not in got
-    got = {(r.action, (r.conv_id, r.again, r.turn, r.line)) for r in catalog.q_context_contradiction_lines(spark, str(tmp_path)).collect()}
-    split = [(*n.split(" ", 1), at) for n, at in said]
-    assert got == {(a, at) for w, a, at in split if any(v != w and b == a and other[0] == at[0] and other < at for v, b, other in split)} != set()
-    blocks = catalog.q_text_heading_lines(spark, str(tmp_path)).collect()
-    words = lambda x: sorted(w.lower() for w in x.split())
-    for conv, turn, text in TURNS:
-        lines = [(k, x) for k, x in enumerate((text or "").split("\n")) if x.strip()]
-        want = [w for k, x in lines for w in (["2.1"] if k % 3 == 1 else []) + x.split()]
-        assert words(" ".join(b.text for b in blocks if b.doc_id == f"{conv}/{turn}")) == words(" ".join(want))
-    assert {b.text for b in blocks if b.kind == "heading"} >= {"2.1 Keep the new files there"}
-
-
-def test_whole_headings_are_compared(spark, tmp_path):
-    nine = lambda a, b: "\n".join([a, *"bcdefgh", b])  # noqa: E731  lines 1 and 9 are headings
-    texts = {1: nine("Of the ess", "x"), 2: nine("A b", "one * two th"), 3: nine("Tests", "Other"), 4: nine("more (th)", "tests"), 5: "", 6: nine("no", "# of <em> & [th](es)"), 7: nine("es", "no"), 8: None}
-    spark.createDataFrame([(k, x) for k, x in texts.items()], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    heads = {str(k): [h.lower() for h in (x.split("\n")[0], x.split("\n")[8])] for k, x in texts.items() if x}
-    first = lambda hs, w: next((i for i, h in enumerate(hs) if w in h), None)
-    status = lambda ok: "PASS" if ok else "FAIL"
-    got = {r.doc_id: r.status for r in catalog.q_required_section_lines(spark, str(tmp_path)).collect()}
-    assert got == {k: status(first(hs, "th") is not None) for k, hs in heads.items()}
-    got = {r.doc_id: r.status for r in catalog.q_section_order_lines(spark, str(tmp_path)).collect()}
-    assert got == {k: status(None not in (a := (first(hs, "th"), first(hs, "es"))) and a[0] <= a[1]) for k, hs in heads.items()}
-    keys = {(r.doc_id, r.line): r.key for r in catalog.q_heading_key_lines(spark, str(tmp_path)).collect()}
-    assert len(keys) == sum(len((x or "").split("\n")) for x in texts.values())
-    assert (keys[1, 0], keys[1, 1], keys[2, 8], keys[5, 0]) == ("of the ess", "b", "one two th", "")
-
-
 def test_compiled_audits_need_neither_python_nor_a_shuffle(spark, sf):
     plan = catalog.q_audit(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
 def test_sections_that_nest(spark):
-    heads = [(1, "heading", 1, "A"), (2, "paragraph", None, "a"), (3, "heading", 2, "B"), (4, "paragraph", None, "b"), (5, "heading", 3, "C"), (6, "paragraph", None, "c"), (7, "heading", 1, "D"), (8, "paragraph", None, "d")]
-    b = spark.createDataFrame([(1, *h) for h in heads], "doc_id long, position int, kind string, level int, text string")
-    assert [(r.position, r.until) for r in structure.section_spans(b).orderBy("position").collect()] == [(1, 7), (3, 7), (5, 7), (7, 1_000_000_000)]
-    assert [r.position for r in structure.exclude_sections(b, F.col("level") == 2).orderBy("position").collect()] == [1, 2, 7, 8]
-    assert [r.section for r in structure.with_sections(b).orderBy("position").collect()] == ["A", "A", "B", "B", "C", "C", "D", "D"]
+    text = "# A\n\na\n\n## B\n\nb\n\n### C\n\nc\n\n# D\n\nd\n"
+    docs = documents.from_text(spark.createDataFrame([(1, text)], "doc_id long, text string"), "md")
+    blocks = [b for r in docs.collect() for b in r.blocks]
+    assert [(b.position, b.until) for b in blocks if b.kind == "heading"] == [(1, 7), (3, 7), (5, 7), (7, documents.NO_END)]
+    assert [b.section for b in blocks] == ["A", "A", "B", "B", "C", "C", "D", "D"]
+    rule = spec(("word_count", {"exact": 4, "exclude_sections": ["B"]}))
+    assert [(r.status, r.n) for r in audit.audit(docs, rule).collect()] == [("PASS", 4)]
 
 
 def test_markers(spark):
