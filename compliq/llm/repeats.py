@@ -201,7 +201,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[Da
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_of(docs, text_col)
     each = docs.groupBy(docs[id_col].alias("id")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("bytes"))
-    repeats, size = each.agg(F.count_if("n > 1 or id is null"), F.sum("bytes")).first()
+    repeats, size = each.agg(F.count_if((F.col("n") > 1) | F.col("id").isNull()), F.sum("bytes")).first()
     # ids tell rows apart; where they do not, a hash of the text helps
     key = F.xxhash64(text) if repeats else F.lit(0).cast("long")
     rows = docs.select(docs[id_col].alias("id"), key.alias("key"), text.cast("binary").alias("text"))
