@@ -124,3 +124,33 @@ class Words:
 
     def core(self, i: int) -> str:
         return self.text[self.at[i] : self.to[i]]
+
+
+_ASCII_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+_BYTE_LOWER = np.arange(256, dtype=np.uint64)
+_BYTE_LOWER[65:91] += np.uint64(32)
+_BYTE_VALUE = mix(_BYTE_LOWER + np.uint64(1))
+_BYTE_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _byte_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    points = np.frombuffer(data, np.uint8)
+    edge = np.diff(np.concatenate([[True], _BYTE_BLANK[points], [True]]).astype(np.int8))
+    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    power, inverse = powers(len(data) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_VALUE[points] * power[:-1])])
+    return start, mix((sums[stop] - sums[start]) * inverse[start])
+
+
+def byte_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts in bytes, whose words are runs of anything but ASCII white space, ASCII letters lower-cased: where the words of each begin (and, at the end, how many there are), and a hash of each word."""
+    whole = b"\n".join(texts)
+    begins, at, made = np.cumsum([0, *(len(t) + 1 for t in texts)]), 0, []
+    while len(whole) - at > PIECE and (m := _ASCII_BLANK.search(whole, at + PIECE)):
+        start, hashes = _byte_words(whole[at : m.end()])
+        made.append((start + at, hashes))
+        at = m.end()
+    start, hashes = _byte_words(whole[at:])
+    made.append((start + at, hashes))
+    start, hashes = (np.concatenate([x[k] for x in made]) for k in (0, 1))
+    return np.searchsorted(start, begins), hashes
