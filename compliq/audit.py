@@ -102,10 +102,23 @@ def exploded(docs: DataFrame, *keep: str) -> DataFrame:
 
 def audit_in_detail(docs: DataFrame, spec: Any, registry: dict | None = None, verifier: Any = None) -> DataFrame:
     """As ``audit``, with messages, evidence, places, hints and details; all in Arrow batches."""
+    return _detail(docs, load(spec, registry=registry), registry, verifier)
+
+
+def explain(docs: DataFrame, spec: Any, registry: dict | None = None, verifier: Any = None, statuses: tuple[str, ...] = ("FAIL", "WARNING", "ERROR")) -> DataFrame:
+    """``audit_in_detail`` of the results with one of the statuses: compiled rules find them, and only these are explained, in Arrow batches."""
     spec = load(spec, registry=registry)
+    found = F.transform(F.filter("results", lambda r: r["status"].isin(*statuses)), lambda r: r["ord"])
+    judged = verdicts(docs, spec, registry, verifier).withColumn("_asked", found).drop("results")
+    return _detail(judged.where(F.size("_asked") > 0), spec, registry, verifier)
+
+
+def _detail(docs: DataFrame, spec: Specification, registry, verifier) -> DataFrame:
+    """Of all requirements, or of those whose numbers ``_asked`` lists."""
     base_dir, plans = spec.base_dir, list(enumerate(spec.enabled))
     error = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
-    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "path", "file_type", "raw_text", "blocks", "meta", error.alias("error"))
+    asked = F.col("_asked") if "_asked" in docs.columns else F.lit(None).cast("array<int>")
+    docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "path", "file_type", "raw_text", "blocks", "meta", error.alias("error"), asked.alias("_asked"))
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,6 +127,8 @@ def audit_in_detail(docs: DataFrame, spec: Any, registry: dict | None = None, ve
             for i in range(b.num_rows):
                 d = _row_doc(names, b, i)
                 for k, r in plans:
+                    if d["_asked"] is not None and k not in d["_asked"]:
+                        continue
                     v = asdict(_check(d, r, base_dir, registry, verifier))
                     rows.append(v | {"doc_id": d["doc_id"], "ord": k, "details": json.dumps(v["details"], ensure_ascii=False)})
             kinds = [("doc_id", pa.string()), ("ord", pa.int32()), *((k, pa.string()) for k in ("requirement_id", "checker", "status", "message", "expected", "actual")), ("evidence", pa.list_(pa.string())), ("locations", _PLACES), ("confidence", pa.float64()), ("hint", pa.string()), ("details", pa.string())]

@@ -267,6 +267,32 @@ def q_section_span(spark, sf):
     return blocks_of(spark, sf, "position", "kind", "level", "until").where("kind = 'heading'").drop("kind")
 
 
+_TEMPLATE = "**@t** and [@t](http://u) ![@t](i.png) `@t` ~~@t~~ <http://a.b> <!-- gone -->*@t* _@t_ a_b_c"
+
+
+@query(_BLOCKS + f" SELECT {_ID}, CAST(n AS INT) AS position, t || ' and ' || t || ' ' || t || ' ' || t || ' ' || t || ' http://a.b ' || t || ' ' || t || ' a_b_c' AS text FROM lines")
+def q_inline_markup(spark, sf):
+    """What stays of emphasis, links, images, code and comments around every line."""
+    d = read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    clean = lambda x: F.rtrim(F.concat(F.lit("¶ "), F.translate(collapsed(x), _MARKS_FROM, _MARKS_TO)))
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.replace(F.lit(_TEMPLATE), F.lit("@t"), clean(x)))
+    docs = documents.from_text(d.select("doc_id", F.array_join(lines, "\n\n").alias("text")), "md")
+    return docs.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.position", "b.text")
+
+
+@query("""
+    SELECT 'd/' || doc_id || '.txt' AS doc_id, CASE doc_id % 4 WHEN 2 THEN 'utf-16' WHEN 3 THEN 'cp1252' ELSE 'utf-8' END AS encoding,
+        replace(replace(CASE WHEN doc_id % 4 = 3 THEN regexp_replace(coalesce(text, ''), '[^\\x09\\x0a\\x20-\\x7e\\x{a0}-\\x{ff}]', '', 'g') || ' é!' ELSE coalesce(text, '') END, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || chr(10) || 'end' AS text FROM documents""")
+def q_text_decode(spark, sf):
+    """Texts from bytes in four encodings, line ends made equal."""
+    t, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    latin = F.concat(F.regexp_replace(t, "[^\\x09\\x0a\\x20-\\x7e\\xa0-\\xff]", ""), F.lit(" é!"))
+    ended = lambda x: F.concat(x, F.lit("\r\nend"))
+    content = F.when(k == 0, F.encode(ended(t), "UTF-8")).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(ended(t), "UTF-8"))).when(k == 2, F.encode(ended(t), "UTF-16")).otherwise(F.encode(ended(latin), "ISO-8859-1"))
+    files = read(spark, sf, "documents").select(F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.length(content).cast("long").alias("length"), content.alias("content"))
+    return documents.from_bytes(files).select("doc_id", F.get_json_object("meta", "$.encoding").alias("encoding"), F.col("raw_text").alias("text"))
+
+
 _COUNT = f"CAST(coalesce(sum(len(regexp_extract_all(text, '{_W}'))), 0) AS BIGINT)"
 
 
@@ -770,7 +796,7 @@ _LINES_WITH = "(SELECT count(*) FROM (SELECT unnest(string_split(coalesce(d.text
 _NUMBER = lambda x: f"format('{{:,}}', {x})"
 
 
-@query(f"""
+_DETAIL = f"""
     WITH facts AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_WORDS} AS w, {_MARKS} AS m, len(regexp_extract_all(coalesce(text, ''), '(?i)licensed\\s+under')) AS l, len(regexp_extract_all(coalesce(text, ''), '(?i)the')) AS t,
         CAST(contains(coalesce(text, ''), '!') AS INT) + CAST(contains(coalesce(text, ''), '&') AS INT) AS marks, {_LINES_WITH} AS lines FROM documents d)
     SELECT doc_id, 'C1' AS requirement_id, CASE WHEN w BETWEEN 100 AND 400 THEN 'PASS' ELSE 'FAIL' END AS status, 'Word count is ' || {_NUMBER('w')} || CASE WHEN w BETWEEN 100 AND 400 THEN ', which is between 100 and 400 words.'
@@ -780,10 +806,22 @@ _NUMBER = lambda x: f"format('{{:,}}', {x})"
     UNION ALL SELECT doc_id, 'C3', CASE WHEN l = 0 THEN 'PASS' ELSE 'FAIL' END, CASE WHEN l = 0 THEN 'No forbidden text found.' ELSE 'Found ' || {_PLURAL('l', 'occurrence', 'occurrences')} || ' of forbidden text.' END, NULL, least(l, 50) FROM facts
     UNION ALL SELECT doc_id, 'C4', CASE WHEN t > 0 THEN 'PASS' ELSE 'WARNING' END, CASE WHEN t > 0 THEN 'Required text found.' ELSE 'Required text not found: "the". (advisory: severity is info)' END, 1, least(t, 1) FROM facts
     UNION ALL SELECT doc_id, 'C5', 'UNVERIFIED', 'This requirement needs semantic judgement. No semantic verifier is configured. It was not tested.', 0, 0 FROM facts
-    UNION ALL SELECT doc_id, 'C6', 'UNVERIFIED', 'This requirement needs a human to judge it. It cannot be tested.', 0, 0 FROM facts""")
+    UNION ALL SELECT doc_id, 'C6', 'UNVERIFIED', 'This requirement needs a human to judge it. It cannot be tested.', 0, 0 FROM facts"""
+
+
+@query(_DETAIL)
 def q_audit_in_detail(spark, sf):
     """Messages, evidence and places of the flagship specification; places are capped at 50, samples at 5 lines."""
-    out = audit.audit_in_detail(flat_docs(spark, sf), FLAGSHIP)
+    return _detailed(audit.audit_in_detail(flat_docs(spark, sf), FLAGSHIP))
+
+
+@query(f"SELECT * FROM ({_DETAIL}) WHERE status IN ('FAIL', 'WARNING')")
+def q_explain(spark, sf):
+    """The same, of what compiled rules found to fail."""
+    return _detailed(audit.explain(flat_docs(spark, sf), FLAGSHIP))
+
+
+def _detailed(out: DataFrame) -> DataFrame:
     evidence = F.when(F.col("requirement_id") != "C3", F.size("evidence").cast("long"))
     return out.select("doc_id", "requirement_id", "status", "message", evidence.alias("n_evidence"), F.size("locations").cast("long").alias("n_locations"))
 

@@ -76,14 +76,16 @@ class Said:
 
     def every(self, *patterns: str, lists: dict[str, list[str]]) -> Iterator[Found]:
         """Each place where a pattern matches, and how it does first."""
-        made = [compiled(p, tuple(lists)) for p in patterns]
+        made = [(compiled(p), starts_of(p, lists)) for p in patterns]
         for i in range(len(self.tokens) + 1):
-            if f := next((f for p in made for f in self._match(p, 0, i, {}, lists, i)), None):
+            low = self.tokens[i].low if i < len(self.tokens) else ""
+            here = [p for p, (anchored, words) in made if (i == 0 or not anchored) and (words is None or low in words)]
+            if f := next((f for p in here for f in self._match(p, 0, i, {}, lists, i)), None):
                 yield f
 
     def after(self, i: int, pattern: str, lists: dict[str, list[str]]) -> Found | None:
         """As the pattern matches at token i."""
-        return next(self._match(compiled(pattern, tuple(lists)), 0, i, {}, lists, i), None)
+        return next(self._match(compiled(pattern), 0, i, {}, lists, i), None)
 
     def phrase(self, i: int, words: tuple[str, ...]) -> int | None:
         """Where the phrase that begins at token i ends."""
@@ -173,8 +175,31 @@ def ordered(phrases: tuple[str, ...]) -> tuple[tuple[str, ...], ...]:
     return tuple(sorted((tuple(p.split()) for p in phrases), key=lambda w: (-len(w), -sum(map(len, w)))))
 
 
+_STARTS: dict[tuple[str, int], tuple[bool, frozenset[str] | None]] = {}
+
+
+def starts_of(pattern: str, lists: dict[str, list[str]]) -> tuple[bool, frozenset[str] | None]:
+    """Whether a pattern matches at the beginning alone, and the words with which it must begin (None: any)."""
+    key = pattern, id(lists)
+    if key not in _STARTS:
+        anchored, words, any_ = False, set(), True
+        for e in compiled(pattern):
+            if e.kind == "begin":
+                anchored = True
+                continue
+            if e.kind != "phrases":
+                break
+            firsts = [p[0] for p in e.phrases or ordered(tuple(lists[e.text]))]
+            words |= {x for w in firsts for x in ((w[:-3], w[:-3] + "s") if w.endswith("(s)") else (w,))}
+            if not e.many:
+                any_ = False
+                break
+        _STARTS[key] = anchored, None if any_ else frozenset(words)
+    return _STARTS[key]
+
+
 @lru_cache(maxsize=None)
-def compiled(pattern: str, _lists: tuple[str, ...]) -> list[Element]:
+def compiled(pattern: str) -> list[Element]:
     out = []
     for m in ELEMENT.finditer(pattern):
         body, many, name = m["body"], m["many"] or "", m["name"] or ""
