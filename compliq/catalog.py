@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return documents.spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def flat_docs(spark: SparkSession, sf: str) -> DataFrame:

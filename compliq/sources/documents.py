@@ -187,6 +187,12 @@ def from_bytes(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, _COLUMNS).unionByName(refused)
 
 
+def spread(df: DataFrame, per_core: int = 4 << 20, per_task: int = 512 << 10) -> DataFrame:
+    """A small table over all cores. A row group of a Parquet file is one task's, and rules cost far more than moving so few bytes; tables over ``per_core`` bytes a core stay where they are."""
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(max(1, min(cores, -(-size // per_task)))) if size < cores * per_core else df
+
+
 def one_paragraph(text: Column) -> Column:
     """The array for text without structure, natively: the whole text is one paragraph."""
     values = {"position": F.lit(1), "para": F.lit(1), "kind": F.lit("paragraph"), "text": text, "line": F.lit(1), "candidate": F.lit(False)}

@@ -46,11 +46,18 @@ def test_queries_without_sql(spark, sf):
         assert catalog.QUERIES[name](spark, sf).count() > 0
 
 
-def test_compiled_audits_need_neither_python_nor_a_shuffle(spark, sf):
+def test_compiled_audits_need_neither_python_nor_a_shuffle(spark, sf, monkeypatch):
+    monkeypatch.setattr(documents, "spread", lambda df: df)
     plan = catalog.q_audit(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
 
 
+def test_small_tables_are_spread_and_large_ones_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert "Exchange" in documents.spread(docs, per_task=1000)._jdf.queryExecution().executedPlan().toString()
+    assert documents.spread(docs, per_core=10) is docs
+
+
 def test_sections_that_nest(spark):
     text = "# A\n\na\n\n## B\n\nb\n\n### C\n\nc\n\n# D\n\nd\n"
     docs = documents.from_text(spark.createDataFrame([(1, text)], "doc_id long, text string"), "md")
