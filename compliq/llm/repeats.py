@@ -205,7 +205,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[Da
     # ids tell rows apart; where they do not, a hash of the text helps
     key = F.xxhash64(text) if repeats else F.lit(0).cast("long")
     rows = docs.select(docs[id_col].alias("id"), key.alias("key"), text.cast("binary").alias("text"))
-    texts = store_by(rows.withColumn("h", F.xxhash64("id", "key")), "h", size or 0)
+    texts = store_by(rows.withColumns({"h": F.xxhash64("id", "key"), "h2": F.xxhash64(F.lit(1), "id", "key")}), "h", size or 0)
     shape = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +215,9 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, length: int) -> tuple[Da
             yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(stretch), b.column("id").take(i), b.column("key").take(i), *[pa.array(x, pa.int32()) for x in (lo, hi, at)]], names=["bucket", "stretch", "id", "key", "lo", "hi", "at"])
 
     def at_texts(asked: DataFrame, how: str = "inner") -> DataFrame:
-        """The texts of the rows of ``asked`` (one row a text), which comes to where they are."""
-        asked = asked.withColumnsRenamed({"id": "_id", "key": "_key"}).withColumn("_h", F.xxhash64("_id", "_key"))
-        on = (texts["h"] == asked["_h"]) & (texts["key"] == asked["_key"]) & texts["id"].eqNullSafe(asked["_id"])
-        return texts.join(asked.hint("shuffle_hash"), on, how)
+        """The texts of the rows of ``asked`` (one row a text), which comes to where they are: one key to join by, as the texts are stored by it, and a second hash."""
+        asked = asked.withColumns({"_h": F.xxhash64("id", "key"), "_h2": F.xxhash64(F.lit(1), "id", "key")}).drop("id", "key")
+        return texts.join(asked.hint("shuffle_hash"), (texts["h"] == asked["_h"]) & (texts["h2"].bitwiseXOR(asked["_h2"]) == 0), how)
 
     def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -85,6 +86,14 @@ def test_other_lengths(spark, length):
     check(documents(spark, [(i, base[rng.randrange(500) :][: rng.randrange(30, 900)] + str(i) * rng.randrange(3)) for i in range(60)]), length)
 
 
+def test_texts_are_shuffled_once(spark, sf, capsys):
+    """What is asked comes to the texts, not they to it."""
+    repeats.op1_suffix_dedup(spark, sf).explain("formatted")
+    plan = capsys.readouterr().out
+    shuffles = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert "ShuffledHashJoin" in plan and shuffles and not any("text#" in x for x in shuffles)
+
+
 def test_units_fit_lengths():
     for length in range(48, 2000):
         size = repeats.unit(length)
