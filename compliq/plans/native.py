@@ -227,8 +227,8 @@ def _sections(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
     return verdict(ok & ~wrong_order, expected, actual, hit, F.when(ok & ~wrong_order & inferred, 0.8).otherwise(1.0))
 
 
-def preserved(b: Column, c: dict, facts: Facts) -> list[Column]:
-    """For each item, whether it appears unchanged."""
+def preserved(b: Column, c: dict, facts: Facts) -> Column:
+    """How many of the items appear unchanged, in a unit or across units."""
 
     def norm(text: Column) -> Column:
         if c["quotes"]:
@@ -239,12 +239,12 @@ def preserved(b: Column, c: dict, facts: Facts) -> list[Column]:
     how, plain = repr({k: c[k] for k in ("case", "spaces", "quotes")}), facts.units(b)
     texts = facts.add(1, F.transform(plain, lambda u: norm(u["text"])), f"texts {how}")
     whole = facts.add(1, norm(F.array_join(F.transform(plain, lambda u: u["text"]), "\n\n")), f"whole {how}")
-    there = lambda needle: F.exists(texts, lambda t: F.contains(t, needle)) | F.contains(whole, needle)
-    return [there(norm(F.lit(item))) for item in c["items"]]
+    needles = F.array(*[norm(F.lit(item)) for item in c["items"]])
+    return F.size(F.filter(needles, lambda n: F.exists(texts, lambda t: F.contains(t, n)) | F.contains(whole, n)))
 
 
 def _preserve(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
-    kept = facts.add(2, sum([F.when(k, 1).otherwise(0) for k in preserved(b, c, facts)], F.lit(0)))
+    kept = facts.add(2, preserved(b, c, facts))
     n = len(c["items"])
     ok = kept == n
     expected = F.lit(c["items"][0] if n == 1 else f"{n} protected items")

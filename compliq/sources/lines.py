@@ -10,14 +10,21 @@ import re
 from collections.abc import Callable
 from typing import Any
 
-#: The line grammar.
+#: The forms of lines that the format defines. A heading by signs, with closing signs dropped.
 ATX = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
+#: The line under a heading of the other kind.
 SETEXT = re.compile(r" {0,3}(=+|-+)[ \t]*$")
+#: A line across the page.
 RULE = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*$")
+#: The beginning of code, and its language.
 FENCE = re.compile(r" {0,3}(`{3,}|~{3,})[ \t]*([\w+#.-]*)")
+#: An item of a list: its bullet or number, its text.
 ITEM = re.compile(r"[ \t]*(?:([-*+•])|(\d{1,3}[.)]))[ \t]+(\S.*)$")
+#: A quoted line.
 QUOTE = re.compile(r" {0,3}>[ \t]?(.*)$")
+#: The row under a table's head.
 DELIMITERS = re.compile(r"\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
+#: The number of a heading in plain text.
 NUMBERED = re.compile(r"(\d+(?:\.\d+)*)[.)]?\s+\S")
 #: Inline markup and what stays of it, in this order.
 INLINE = [
