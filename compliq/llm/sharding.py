@@ -28,7 +28,7 @@ BINS = 4096
 def _coordinates(docs: DataFrame, text_col: str) -> dict[str, Column]:
     text = text_of(docs, text_col)
     size = (F.octet_length(text) + 1).cast("long")
-    count = lambda c: (F.length(text) - F.length(F.translate(text, c, ""))).cast("double")
+    count = lambda c: (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))).cast("double")
     return {
         "_kd_size": size, "_kd_crc": F.crc32(text.cast("binary")), "_kd_tag": F.xxhash64(text), "_kd_d0": F.log(size.cast("double")),
         "_kd_d1": (F.octet_length(text) / F.greatest(F.char_length(text), F.lit(1))).cast("double"), "_kd_d2": F.log1p(count("\n")),
@@ -130,7 +130,8 @@ def kd_plan(rows: DataFrame, shards: int | None, id_col: str, group_share: float
                 cuts.left[k], cuts.right[k] = fresh, fresh + 1
             fresh += 2
         plan.levels.append(cuts)
-        rows = rows.withColumn("_kd_node", cuts.down(node))
+        if any(many > 1 for _, many in holds.values()):  # written, since filters on the node would go down through all levels' arithmetic, and repeat it
+            rows = materialize(rows.withColumn("_kd_node", cuts.down(node)))
     plan.leaves = [holds.get(k, (0, 0))[0] for k in range(fresh)]
     return plan
 
