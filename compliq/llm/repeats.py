@@ -9,7 +9,7 @@ identifiers are used again for the next, longer step. Three things make it fit a
   gives equal strings equal identifiers, so a refinement step needs no renaming pass over all suffixes.
 - Suffixes are sampled: every window of ``length`` bytes is sorted under the q-gram in it whose identifier is smallest (leftmost
   among equals). The choice depends on the window's bytes alone, so equal windows meet in the bucket of equal q-grams. Windows in a
-  row share their suffix, so there is about one row for 85 bytes of text.
+  row share their suffix, so there is about one row for 40 bytes of text.
 - Buckets with one row are final and leave at once. The others are refined by the identifiers that cover the whole stretch
   under a suffix's windows: stretches that occur twice are wholly repeated. What is still single in a bucket with several kinds of
   stretches is refined in blocks of 16 windows, by the identifier of the bytes that all of them share (single: none is repeated) and
