@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -227,8 +228,23 @@ def _sections(b: Column, c: dict, doc: dict, facts: Facts) -> Column:
     return verdict(ok & ~wrong_order, expected, actual, hit, F.when(ok & ~wrong_order & inferred, 0.8).otherwise(1.0))
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once a row, also where ``of`` uses it inside a lambda: a column that is used there alone would be inlined, and computed for each element."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+#: Items up to which each is looked for by itself; of more, those of at least ``PARTS`` parts are looked for only where their middle occurs.
+FEW_ITEMS, PARTS = 8, 5
+#: What Java's Unicode-aware \s matches.
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
 def preserved(b: Column, c: dict, facts: Facts) -> Column:
-    """How many of the items appear unchanged, in a unit or across units."""
+    """How many of the items appear unchanged, in a unit or across units. What is in a unit is in the whole text too, which holds every unit as it is.
+
+    Where an item occurs, its parts between its first and last space are whole parts of the text between spaces. So many items are told by three parts from
+    their middle: hashes of all runs of three parts of the text are looked up in one set, and only items whose middle was met are compared with the text.
+    """
 
     def norm(text: Column) -> Column:
         if c["quotes"]:
@@ -236,11 +252,41 @@ def preserved(b: Column, c: dict, facts: Facts) -> Column:
         text = collapsed(text) if c["spaces"] else text
         return text if c["case"] else folded(text)
 
+    def given(item: str) -> str:
+        """As ``norm`` but for case, so that a plan of many items stays small."""
+        item = item.translate(_STRAIGHT) if c["quotes"] else item
+        return _SPACES.sub(" ", item).strip(" ") if c["spaces"] else item
+
+    def cased(item: str) -> Column:
+        return F.lit(item) if c["case"] else folded(F.lit(item))
+
+    def middle(item: str) -> Column:
+        parts = item.split(" ")
+        at, h = (len(parts) - 3) // 2, 42
+        if not c["case"]:
+            return F.xxhash64(*[cased(x) for x in parts[at : at + 3]])
+        for x in parts[at : at + 3]:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        return F.lit(h - (h >> 63 << 64))
+
+    items = [given(x) for x in c["items"]]
+    long = [x for x in items if x.count(" ") >= PARTS - 1]
+    if len(long) <= FEW_ITEMS:
+        long = []
+    short = [x for x in items if not long or x.count(" ") < PARTS - 1]
+    middles = [middle(x) for x in long]
+
+    def kept(text: Column) -> Column:
+        out = F.size(F.filter(F.array(*map(cased, short)), lambda n: F.contains(text, n))) if short else F.lit(0)
+        if not long:
+            return out
+        hashes = lambda parts: F.transform(parts, lambda _, i: F.xxhash64(*[F.get(parts, i + k) for k in range(3)]))
+        runs = let(F.split(text, " ", -1), lambda parts: F.filter(hashes(parts), lambda h: h.isin(middles)))
+        met = lambda hits: F.size(F.filter(F.array(*map(cased, long)), lambda n, i: F.array_contains(hits, F.get(F.array(*middles), i)) & F.contains(text, n)))
+        return out + let(F.array_distinct(runs), lambda hits: F.when(F.size(hits) == 0, 0).otherwise(met(hits)))
+
     how, plain = repr({k: c[k] for k in ("case", "spaces", "quotes")}), facts.units(b)
-    texts = facts.add(1, F.transform(plain, lambda u: norm(u["text"])), f"texts {how}")
-    whole = facts.add(1, norm(F.array_join(F.transform(plain, lambda u: u["text"]), "\n\n")), f"whole {how}")
-    needles = F.array(*[norm(F.lit(item)) for item in c["items"]])
-    return F.size(F.filter(needles, lambda n: F.exists(texts, lambda t: F.contains(t, n)) | F.contains(whole, n)))
+    return let(facts.add(1, norm(F.array_join(F.transform(plain, lambda u: u["text"]), "\n\n")), f"whole {how}"), kept)
 
 
 def _preserve(b: Column, c: dict, doc: dict, facts: Facts) -> Column:

@@ -1,4 +1,6 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from compliq import audit
 from compliq.plans import detail
 from compliq.plans.spec import SpecificationError, load, validate
 from compliq.sources import documents
-from tests.helpers import build_docx, md, spec, txt
+from tests.helpers import build_docx, md, run_rule, spec, txt
 from tests.test_rules import OMNIBUS
 
 RULES = [
@@ -134,3 +136,28 @@ def test_report_of_one_document():
     s = spec(("word_count", {"min": 1}), ("forbidden_text", {"value": "x"}, "info"))
     out = audit.audit_one(txt("x y"), s)
     assert out["summary"]["counts"]["WARNING"] == 1 and out["document"]["word_count"] == 2 and json.dumps(out)
+
+
+PRESERVED = ["a“b” c d\te f", "Straße Änderung ŒUVRE é É ok", "one two three four five", "two three four five six seven", "three four five one two three", "x", "five six", "  spaced   out  words of\nan item ", "no such words in any text"]
+PRESERVED += [f"item {i} of many\xa0items here" for i in range(12)] + ["e f one two three", "ο δος straße a b c d e"]
+
+
+@pytest.mark.parametrize("flags", [{}, {"case_sensitive": False}, {"normalize_quotes": True}, {"normalize_whitespace": False}, {"case_sensitive": False, "normalize_whitespace": False, "normalize_quotes": True}])
+def test_many_protected_items_are_counted_as_one_by_one(spark, flags):
+    rng, bits = random.Random(5), " one two three four five six seven x item of many items here STRASSE straße änderung œuvre é É ok".split(" ") + PRESERVED + [x.replace(" ", "\n\n") for x in PRESERVED]
+    texts = [rng.choice([" ", "\n", "  ", "\xa0", "\n\n"]).join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(60)]
+    docs = documents.from_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: (r.status, r.n) for r in audit.audit(docs, spec(("preserve_text", {"texts": PRESERVED} | flags))).collect()}
+    assert len({n for _, n in got.values()}) > 8
+    for i, t in enumerate(texts):
+        bad = [x for x in PRESERVED if run_rule(txt(t), "preserve_text", text=x, **flags).status != "PASS"]
+        assert got[str(i)] == ("FAIL" if bad else "PASS", len(bad)), (t, bad)
+
+
+def test_a_text_is_put_in_normal_form_once_however_many_items_are_protected(spark):
+    text, items = "the words of a long text, " * 4000, [f"protected words of the passage number {i} in its own wording" for i in range(200)]
+    docs = documents.from_text(spark.createDataFrame([(i, text + items[i]) for i in range(4)], "doc_id long, text string").coalesce(1)).cache()
+    docs.count()
+    start = time.time()
+    assert {r.n for r in audit.audit(docs, spec(("preserve_text", {"texts": items}))).collect()} == {199}
+    assert time.time() - start < 15
